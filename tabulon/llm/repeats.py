@@ -1,0 +1,352 @@
+"""Exact repeated-window detection over a whole corpus, without a global sort of positions.
+
+The two dedup operators (word windows, byte windows) share this engine.
+
+1. *Classes.*  Equal texts become one class; classes live in a bucketed table,
+   so later joins move only small sides.
+2. *Anchors.*  In each window of ``width`` units the least hash among its
+   ``gram``-unit grams is an anchor.  Equal windows have equal anchors at equal
+   offsets, so a window can repeat only if its anchor's hash occurs twice.
+   Anchors are a few hundredths of all positions.
+3. *Refinement.*  An anchor stands for the window starts that can have it.
+   Such a range of starts has a *core* (units common to all its windows) and a
+   *union* (units of any of them).  Equal unions: all windows repeat.  A core
+   with a single union: nothing left to compare.  Only the first occurrence of
+   each distinct union, where a core has several, is cut into smaller ranges
+   and compared again, until ranges hold one window.  Groups of copies thus
+   shrink to one representative per level: no pairs within a group.
+4. *Marking.*  A text's repeated ranges are those at which it is not the first
+   occurrence (and, where the first counts too, those that occur twice).
+
+Every aggregate is a count or a minimum (map-side combined) and every join has
+a side with one row a key, so a hot key is split by adaptive skew handling.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from . import kernels as K
+from .storage import bucketed, materialise
+
+U64 = np.uint64
+
+
+@dataclass(frozen=True)
+class Plan:
+    """What counts as a repeat: unit, window width, anchor gram, and the range sizes of refinement."""
+
+    unit: str  # "word" or "byte"
+    width: int
+    gram: int
+    cuts: tuple[int, ...]  # sizes of ranges below the whole one; the last is 1
+    first_stays: bool  # True: only later occurrences count
+
+    @property
+    def grams(self) -> int:
+        return self.width - self.gram + 1
+
+
+# ---------------------------------------------------------------- kernels
+
+
+def units(plan: Plan, data: np.ndarray, offsets: np.ndarray, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Unit values and unit offsets of each text."""
+    if plan.unit == "byte":
+        return K.byte_values(which)[data], offsets
+    starts, ends, woff = K.word_bounds(data, offsets, K.NOT_SPACE)
+    return K.word_hashes(data, starts, ends, which), woff
+
+
+def anchors(plan: Plan):
+    """(k1, text) batches to (h, k1, a): the anchors of every text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column("k1").to_numpy(zero_copy_only=False)
+            for lo, hi, data, offsets in K.chunks(batch.column("text")):
+                values, off = units(plan, data, offsets)
+                if len(values) < plan.width:
+                    continue
+                grams = K.Rolling(values).grams(plan.gram)
+                n = len(values) - plan.width + 1
+                ok = np.arange(n) + plan.width <= K.ends_of(off)[:n]
+                at = K.minimisers(grams, ok, plan.grams)
+                doc = np.searchsorted(off, at, "right") - 1
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(K.signed(grams[at])), pa.array(keys[lo:hi][doc]), pa.array((at - off[doc]).astype(np.int32))],
+                    ["h", "k1", "a"],
+                )
+
+    return run
+
+
+def children(plan: Plan, level: int, a: np.ndarray, d0: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ranges (a, d0, d1) that the given ranges of the level above are cut into; level 0 makes the whole ones.
+
+    A range holds the window starts a - d1 .. a - d0.
+    """
+    if level == 0:
+        return a, np.zeros(len(a), np.int64), np.full(len(a), plan.grams - 1, np.int64)
+    above = plan.grams if level == 1 else plan.cuts[level - 2]
+    cut = plan.cuts[level - 1]
+    per = -(-above // cut)
+    lows = (d0[:, None] + np.arange(per) * cut).ravel()
+    top = np.repeat(np.minimum(d0 + above, plan.grams), per)
+    keep = lows < top
+    lows, top = lows[keep], top[keep]
+    return np.repeat(a, per)[keep], lows, np.minimum(lows + cut, top) - 1
+
+
+def fits(plan: Plan, n: int, a: np.ndarray, d0: np.ndarray, d1: np.ndarray) -> np.ndarray:
+    """Whether some window of the range may lie inside a text of n units."""
+    return (a - d0 >= 0) & (a - d1 + plan.width <= n)
+
+
+def range_keys(plan: Plan, level: int):
+    """Per text and list of ranges: core and union hashes of the ranges of this level."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k1 = batch.column("k1").to_numpy(zero_copy_only=False)
+            k2 = batch.column("k2").to_numpy(zero_copy_only=False)
+            first = batch.column("first_id")
+            at_all, d_all = batch.column("at"), batch.column("d")
+            at_off, d_off = np.asarray(at_all.offsets), np.asarray(d_all.offsets)
+            at_val, d_val = np.asarray(at_all.values), np.asarray(d_all.values)
+            out: list[list[np.ndarray]] = [[] for _ in range(7)]
+            size = 0
+
+            def flush():
+                cols = [np.concatenate(c) for c in out]
+                rows = cols.pop()
+                for c in out:
+                    c.clear()
+                return pa.RecordBatch.from_arrays(
+                    [pa.array(K.signed(cols[0])), pa.array(K.signed(cols[1])), pa.array(K.signed(cols[2])), first.take(pa.array(rows)), pa.array(k1[rows]), pa.array(k2[rows]), pa.array(cols[3].astype(np.int32)), pa.array(cols[4].astype(np.int32)), pa.array(cols[5])],
+                    ["c", "u1", "u2", "first_id", "k1", "k2", "a", "d", "inside"],
+                )
+
+            for lo, hi, data, offsets in K.chunks(batch.column("text")):
+                va, off = units(plan, data, offsets, 0)
+                vb, _ = units(plan, data, offsets, 1)
+                ra, rb = K.Rolling(va, 0), K.Rolling(vb, 1)
+                for row in range(lo, hi):
+                    base, n = int(off[row - lo]), int(off[row - lo + 1] - off[row - lo])
+                    a = at_val[at_off[row] : at_off[row + 1]].astype(np.int64)
+                    d = d_val[d_off[row] : d_off[row + 1]].astype(np.int64)
+                    a, d0, d1 = children(plan, level, a, d)
+                    ok = fits(plan, n, a, d0, d1) & (a < n)
+                    a, d0, d1 = a[ok], d0[ok], d1[ok]
+                    if not len(a):
+                        continue
+                    core = ra.slices(base + a - d0, base + a - d1 + plan.width) + K.mix64(d0.astype(U64) + U64(1))
+                    s, e = a - d1, a - d0 + plan.width
+                    inside = (s >= 0) & (e <= n)
+                    si, ei = base + np.where(inside, s, 0), base + np.where(inside, e, 0)
+                    own = K.mix64(np.full(len(a), k1[row]).astype(np.int64).view(U64) + K.mix64((a * (plan.grams + 1) + d0).astype(U64)))
+                    u1 = np.where(inside, ra.slices(si, ei), own)
+                    u2 = np.where(inside, rb.slices(si, ei), K.mix64(own + np.int64(k2[row]).astype(U64)))
+                    for col, x in zip(out, (core, u1, u2, a, d0, inside, np.full(len(a), row)), strict=True):
+                        col.append(x)
+                    size += len(a)
+                    if size >= 50_000:
+                        yield flush()
+                        size = 0
+            if size:
+                yield flush()
+
+    return run
+
+
+RANGES = "c long, u1 long, u2 long, first_id long, k1 long, k2 long, a int, d int, inside boolean"
+
+
+def mark(plan: Plan, n: int, hot: np.ndarray, firsts: list[tuple[np.ndarray, ...]]) -> np.ndarray:
+    """Units of a text that repeated windows cover.
+
+    ``firsts``: per level the (a, d, multi, split) of the ranges at which this
+    text is the first occurrence; any other range of the level is a repeat.
+    """
+    edges = np.zeros(n + 1, np.int64)
+    a = hot
+    d = np.zeros(len(hot), np.int64)
+    for level, (fa, fd, multi, split) in enumerate(firsts):
+        a, d0, d1 = children(plan, level, a, d)
+        ok = fits(plan, n, a, d0, d1) & (a < n)
+        a, d0, d1 = a[ok], d0[ok], d1[ok]
+        if not len(a):
+            break
+        span = plan.grams + 1
+        known = fa.astype(np.int64) * span + fd
+        order = np.argsort(known)
+        known, multi, split = known[order], multi[order], split[order]
+        mine = a * span + d0
+        where = np.minimum(np.searchsorted(known, mine), max(len(known) - 1, 0))
+        is_first = known[where] == mine if len(known) else np.zeros(len(mine), bool)
+        repeat = ~is_first
+        if not plan.first_stays and len(known):
+            repeat |= is_first & multi[where]
+        s, e = (a - d1)[repeat], (a - d0 + plan.width)[repeat]
+        np.add.at(edges, s, 1)
+        np.add.at(edges, e, -1)
+        go = is_first & split[where] if len(known) else np.zeros(len(mine), bool)
+        a, d = a[go], d0[go]
+    return np.cumsum(edges[:n]) > 0
+
+
+def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of True."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], flags.astype(np.int8), [0]))))
+    return edge[::2], edge[1::2]
+
+
+def cut_texts(plan: Plan):
+    """Per text: units, kept text, and the removed runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hot, marks = batch.column("hot"), batch.column("marks")
+            hot_off, hot_val = np.asarray(hot.offsets), np.asarray(hot.values)
+            m_off = np.asarray(marks.offsets)
+            m = [np.asarray(x) for x in marks.values.flatten()]
+            for lo, hi, data, offsets in K.chunks(batch.column("text")):
+                n_units, kept, starts, lengths = [], [], [], []
+                for row in range(lo, hi):
+                    raw = data[offsets[row - lo] : offsets[row - lo + 1]].tobytes()
+                    seq = raw.split() if plan.unit == "word" else raw
+                    n = len(seq)
+                    own = slice(m_off[row], m_off[row + 1])
+                    level = m[0][own]
+                    firsts = [tuple(x[own][level == i] for x in m[1:]) for i in range(len(plan.cuts) + 1)]
+                    at = np.unique(hot_val[hot_off[row] : hot_off[row + 1]].astype(np.int64))
+                    s = e = np.zeros(0, np.int64)
+                    if len(at) and n >= plan.width:
+                        s, e = runs(mark(plan, n, at, firsts))
+                    pieces = [seq[i:j] for i, j in zip([0, *e.tolist()], [*s.tolist(), n], strict=True)]
+                    kept.append(b" ".join(w for p in pieces for w in p) if plan.unit == "word" else b"".join(pieces))
+                    n_units.append(n)
+                    starts.append(s)
+                    lengths.append(e - s)
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in ("k1", "k2", "first_id", "n_rows", "n_first")), pa.array(n_units, pa.int64()), pa.array(kept, pa.binary()), pa.array(starts, pa.list_(pa.int64())), pa.array(lengths, pa.list_(pa.int64()))],
+                    ["k1", "k2", "first_id", "n_rows", "n_first", "n_units", "kept", "starts", "lengths"],
+                )
+
+    return run
+
+
+CUT = "k1 long, k2 long, first_id long, n_rows long, n_first long, n_units long, kept binary, starts array<long>, lengths array<long>"
+
+
+# ---------------------------------------------------------------- plan
+
+
+def text_classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): each (text key, id) with its count; each distinct text with a number and its least id.
+
+    ``n_first`` counts the rows that carry the least id.  A null id orders
+    last.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).select(
+        F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("second"), "text").alias("k2"), "id", "text"
+    )
+    counts = materialise(rows.groupBy("k1", "k2", "id").agg(F.count(F.lit(1)).alias("n")), "rows")
+    least = counts.groupBy("k1", "k2").agg(
+        F.min(F.struct(F.col("id").isNull().alias("nil"), "id", "n")).alias("f"), F.sum("n").alias("n_rows")
+    )
+    texts = rows.select("k1", "k2", "text").dropDuplicates(["k1", "k2"])
+    classes = texts.join(least, ["k1", "k2"]).select(
+        F.monotonically_increasing_id().alias("cid"), "k1", "k2", F.col("f.id").alias("first_id"), "n_rows", F.col("f.n").alias("n_first"), "text"
+    )
+    return counts, bucketed(classes, "k1", "texts")
+
+
+def find(plan: Plan, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(hot, marks): anchors that occur twice, per text; and the first occurrences of every level, per text."""
+    found = classes.select("k1", "text").mapInArrow(anchors(plan), "h long, k1 long, a int")
+    twice = found.select("h").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    hot = materialise(
+        found.join(twice, "h").groupBy("k1").agg(F.collect_list("a").alias("hot")), "hot"
+    )
+    listed = hot.select("k1", F.col("hot").alias("at"), F.transform("hot", lambda _: F.lit(0)).alias("d"))
+    levels = []
+    for level in range(len(plan.cuts) + 1):
+        ranges = (
+            classes.join(listed, "k1")
+            .select("k1", "k2", "first_id", "text", "at", "d")
+            .mapInArrow(range_keys(plan, level), RANGES)
+        )
+        unions = ranges.groupBy("c", "u1", "u2").agg(
+            F.min(F.struct(F.col("first_id").isNull().alias("nil"), "first_id", "k1", "k2", "a", "d")).alias("f"),
+            F.count(F.lit(1)).alias("n"),
+        )
+        unions = unions.select("c", "f", "n") if level < len(plan.cuts) else unions.select("f", "n")
+        multi = (F.col("n") > 1).alias("multi")
+        if level < len(plan.cuts):
+            unions = materialise(unions, "unions")
+            several = unions.groupBy("c").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("c", F.lit(True).alias("s"))
+            firsts = unions.join(several, "c", "left").select("f.k1", "f.k2", "f.a", "f.d", multi, F.coalesce("s", F.lit(False)).alias("split"))
+        else:
+            firsts = unions.select("f.k1", "f.k2", "f.a", "f.d", multi, F.lit(False).alias("split"))
+        firsts = materialise(firsts, "firsts")
+        levels.append(firsts.withColumn("level", F.lit(level)))
+        listed = (
+            firsts.filter("split")
+            .groupBy("k1")
+            .agg(F.collect_list(F.struct("a", "d")).alias("x"))
+            .select("k1", F.col("x.a").alias("at"), F.col("x.d").alias("d"))
+        )
+    marks = levels[0]
+    for x in levels[1:]:
+        marks = marks.unionByName(x)
+    marks = marks.groupBy("k1", "k2").agg(F.collect_list(F.struct("level", "a", "d", "multi", "split")).alias("marks"))
+    return hot, marks
+
+
+def remove_repeats(plan: Plan, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per input row: id, n_units, kept (binary), spans (start, length in units)."""
+    rows, classes = text_classes(docs, id_col, text_col)
+    hot, marks = find(plan, classes)
+    empty_hot = F.array().cast("array<int>")
+    empty_marks = F.array().cast("array<struct<level:int,a:int,d:int,multi:boolean,split:boolean>>")
+    cut = (
+        classes.join(hot, "k1", "left")
+        .join(marks, ["k1", "k2"], "left")
+        .select("k1", "k2", "first_id", "n_rows", "n_first", "text", F.coalesce("hot", empty_hot).alias("hot"), F.coalesce("marks", empty_marks).alias("marks"))
+        .mapInArrow(cut_texts(plan), CUT)
+    )
+    spans = F.arrays_zip(F.col("starts").alias("start"), F.col("lengths").alias("length"))
+    whole = F.col("n_units") >= plan.width
+    all_gone = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_units").alias("length")))
+
+    def shown(gone: Column) -> list[Column]:
+        return [
+            F.col("n_units"),
+            F.when(gone, F.lit(b"")).otherwise(F.col("kept")).alias("kept"),
+            F.when(gone, all_gone).otherwise(spans).alias("spans"),
+        ]
+
+    cut = materialise(cut, "cut")
+    gone_first = F.lit(False) if plan.first_stays else (whole & (F.col("n_rows") > 1))
+    firsts = cut.select(
+        F.col("first_id").alias("id"), *shown(gone_first), F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_first"))).alias("i")
+    ).drop("i")
+    short = cut.filter("n_rows > n_first").select(
+        "k1", "k2", "first_id", "n_units", F.when(whole, F.lit(b"")).otherwise(F.col("kept")).alias("kept"), "starts", "lengths"
+    )
+    copies = (
+        rows.join(short, ["k1", "k2"])
+        .filter(~F.col("id").eqNullSafe(F.col("first_id")))
+        .select("id", *shown(whole), F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("i"))
+        .drop("i")
+    )
+    return firsts.unionByName(copies)
