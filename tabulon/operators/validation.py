@@ -78,8 +78,11 @@ def check_datapoint(ds: Dataset, ruleset, evaluate, components: tuple[str, ...]
     results = []
     for label, rule in zip(labels(ruleset), ruleset.rules, strict=True):
         then = evaluate(rule.body, names).as_type(BOOLEAN)
-        when = F.lit(True) if rule.condition is None else evaluate(rule.condition, names).as_type(BOOLEAN)
-        held = F.when(when.isNull(), then).when(then.isNull(), when).otherwise(~when | then)
+        if rule.condition is None:
+            when, held = F.lit(True), then
+        else:
+            when = evaluate(rule.condition, names).as_type(BOOLEAN)
+            held = F.when(when.isNull(), then).when(then.isNull(), when).otherwise(~when | then)
         failed = F.coalesce(when & ~then, F.lit(False))
         results.append(
             F.struct(F.lit(label).alias("ruleid"), held.alias("bool_var"), F.when(failed, typed(rule.code, code_type)).alias("errorcode"), F.when(failed, typed(rule.level, level_type)).alias("errorlevel"))

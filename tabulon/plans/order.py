@@ -67,6 +67,14 @@ def in_order(statements: list[N.Statement]) -> list[N.Statement]:
     state: dict[str, int] = {}
     errors: list[VtlError] = []
 
+    def needs(name: str, seen: set[str]) -> set[str]:
+        """Names that a statement reads for certain, directly or not."""
+        for n in firm[name]:
+            if n not in seen:
+                seen.add(n)
+                needs(n, seen)
+        return seen
+
     def visit(name: str, path: list[str]) -> None:
         if state.get(name) == 2:
             return
@@ -78,7 +86,7 @@ def in_order(statements: list[N.Statement]) -> list[N.Statement]:
         for n in firm[name]:
             visit(n, [*path, name])
         for n in loose[name]:  # a component of that name is likelier than a cycle
-            if state.get(n) != 1:
+            if state.get(n) != 1 and name not in needs(n, set()):
                 visit(n, [*path, name])
         state[name] = 2
         out.append(made[name])
