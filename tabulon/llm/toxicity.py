@@ -248,11 +248,10 @@ class Model:
             # the best word of each toxic text, and all its words that already stand out
             chosen = np.bincount(np.array([max(w, key=lead.__getitem__) for w in witnesses if w], int), minlength=len(words)).astype(float)
             chosen = np.where(strong | (lead > 0.5) & (turn > 0), t, chosen)
-            x = np.concatenate([mapped, mapped])
-            y = np.concatenate([np.ones(len(words)), -np.ones(len(words))])
-            weight = np.concatenate([chosen / max(chosen.sum(), 1), c / n_clean])
-            some = weight > 0
-            self.weight, self.bias = squared_hinge(x[some], y[some], weight[some], ridge)
+            pos, neg = np.flatnonzero(chosen > 0), np.flatnonzero(c > 0)
+            y = np.concatenate([np.ones(len(pos)), -np.ones(len(neg))])
+            weight = np.concatenate([chosen[pos] / max(chosen.sum(), 1), c[neg] / n_clean])
+            self.weight, self.bias = squared_hinge(np.concatenate([mapped[pos], mapped[neg]]), y, weight, ridge)
             lead = mapped @ self.weight + self.bias
 
 
@@ -349,11 +348,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     # words that may witness: more frequent among toxic texts; a bounded list of words, of a bounded sample of texts
     share = (words["t"] + 0.5) / (words["c"] + 0.5) > (totals[1] / totals[0])
     place = {w: i for i, w in enumerate(words["word"]) if share[i] and words["t"][i] >= 2}
-    near = docs.sparkSession.createDataFrame([(w,) for w in place] or [("",)], "word string")
-    toxic_rows = held.filter("toxic = 1").distinct().join(F.broadcast(near), "word").select("rid", "word").toPandas()
+    near = docs.sparkSession.createDataFrame(list(place.items()) or [("", 0)], "word string, place int")
+    toxic_rows = held.filter("toxic = 1").distinct().join(F.broadcast(near), "word").select("rid", "place").toPandas()
     witnesses: dict[int, list[int]] = {}
-    for rid, word in zip(toxic_rows["rid"].tolist(), toxic_rows["word"].tolist(), strict=True):
-        witnesses.setdefault(rid, []).append(place[word])
+    for rid, at in zip(toxic_rows["rid"].tolist(), toxic_rows["place"].tolist(), strict=True):
+        witnesses.setdefault(rid, []).append(at)
     model = Model(Landmarks(chosen_words, n_marked))
     model.fit(words, [witnesses[r] for r in sorted(witnesses)], totals[0])
     shared = docs.sparkSession.sparkContext.broadcast(model)
