@@ -273,7 +273,8 @@ def text_classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame
 def find(plan: Plan, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(hot, marks): anchors that occur twice, per text; and the first occurrences of every level, per text."""
     found = classes.select("k1", "text").mapInArrow(anchors(plan), "h long, k1 long, a int")
-    twice = found.select("h").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    # written first, so that both sides of the join are exchanges and a hot hash can be split
+    twice = materialise(found.select("h").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "twice")
     hot = materialise(
         found.join(twice, "h").groupBy("k1").agg(F.collect_list("a").alias("hot")), "hot"
     )
@@ -293,7 +294,7 @@ def find(plan: Plan, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
         multi = (F.col("n") > 1).alias("multi")
         if level < len(plan.cuts):
             unions = materialise(unions, "unions")
-            several = unions.groupBy("c").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("c", F.lit(True).alias("s"))
+            several = materialise(unions.groupBy("c").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("c", F.lit(True).alias("s")), "several")
             firsts = unions.join(several, "c", "left").select("f.k1", "f.k2", "f.a", "f.d", multi, F.coalesce("s", F.lit(False)).alias("split"))
         else:
             firsts = unions.select("f.k1", "f.k2", "f.a", "f.d", multi, F.lit(False).alias("split"))
@@ -308,7 +309,8 @@ def find(plan: Plan, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     marks = levels[0]
     for x in levels[1:]:
         marks = marks.unionByName(x)
-    marks = marks.groupBy("k1", "k2").agg(F.collect_list(F.struct("level", "a", "d", "multi", "split")).alias("marks"))
+    # by k1 alone, as the texts are bucketed, so that the join moves no text
+    marks = marks.groupBy("k1").agg(F.collect_list(F.struct("k2", "level", "a", "d", "multi", "split")).alias("marks"))
     return hot, marks
 
 
@@ -317,11 +319,13 @@ def remove_repeats(plan: Plan, docs: DataFrame, id_col: str, text_col: str) -> D
     rows, classes = text_classes(docs, id_col, text_col)
     hot, marks = find(plan, classes)
     empty_hot = F.array().cast("array<int>")
-    empty_marks = F.array().cast("array<struct<level:int,a:int,d:int,multi:boolean,split:boolean>>")
+    empty_marks = F.array().cast("array<struct<k2:bigint,level:int,a:int,d:int,multi:boolean,split:boolean>>")
+    fields = ("level", "a", "d", "multi", "split")
+    own_marks = F.transform(F.filter(F.coalesce("marks", empty_marks), lambda m: m["k2"] == F.col("k2")), lambda m: F.struct(*[m[f].alias(f) for f in fields]))
     cut = (
         classes.join(hot, "k1", "left")
-        .join(marks, ["k1", "k2"], "left")
-        .select("k1", "k2", "first_id", "n_rows", "n_first", "text", F.coalesce("hot", empty_hot).alias("hot"), F.coalesce("marks", empty_marks).alias("marks"))
+        .join(marks, "k1", "left")
+        .select("k1", "k2", "first_id", "n_rows", "n_first", "text", F.coalesce("hot", empty_hot).alias("hot"), own_marks.alias("marks"))
         .mapInArrow(cut_texts(plan), CUT)
     )
     spans = F.arrays_zip(F.col("starts").alias("start"), F.col("lengths").alias("length"))
