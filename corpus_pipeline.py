@@ -32,11 +32,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     classes = near_classes(docs)
     # the keys of the class's first text, and its least id, name the document that stays
     keep = classes.filter(F.col("id").eqNullSafe(F.col("class_id")) & ((F.col("k1") == F.col("class_k1")) & (F.col("k2") == F.col("class_k2")) | ~F.col("worded")))
-    keep = keep.select(F.col("id").alias("keep_id"), F.col("k1").alias("keep_k1"), F.col("k2").alias("keep_k2")).distinct()
+    names = ("__nil", "__id", "__k1", "__k2")
+
+    def keys(ident, k1, k2) -> dict:
+        return dict(zip(names, (ident.isNull(), F.coalesce(ident, F.lit(0).cast("long")), k1, k2), strict=True))
+
+    keep = keep.select(*[c.alias(n) for n, c in keys(F.col("id"), F.col("k1"), F.col("k2")).items()])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumns({"own_k1": F.xxhash64(text), "own_k2": F.xxhash64(F.lit("second"), text)})
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("keep_id")) & (F.col("own_k1") == F.col("keep_k1")) & (F.col("own_k2") == F.col("keep_k2"))
-    return keyed.join(keep, same, "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    keyed = docs.withColumns(keys(F.col("doc_id").cast("long"), F.xxhash64(text), F.xxhash64(F.lit("second"), text)))
+    # repeated rows share all keys, so one exchange serves the join and their removal
+    return keyed.join(keep, list(names), "left_semi").dropDuplicates(list(names)).select(*docs.columns)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

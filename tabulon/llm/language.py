@@ -41,6 +41,8 @@ PAD = 0x0A
 #: Rows a language to train on; the bound of the fitted sample.
 SAMPLE_ROWS = 500
 TEMPER = 64
+#: Up to so many languages their shares are broadcast.
+MOST_LANGS = 10_000
 
 
 def padded(data: np.ndarray, offsets: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
@@ -151,6 +153,8 @@ def predictor(shared):
 def train(docs: DataFrame, text_col: str, lang_col: str, key: Column, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.pmod(F.xxhash64(key), F.lit(1_000_000)).alias("draw")).filter("lang is not null and text is not null")
     share = rows.groupBy("lang").agg(F.ceil(F.lit(sample_rows) * 1_000_000 / F.count(F.lit(1))).alias("below"))
+    if share.count() <= MOST_LANGS:  # a bounded side; the texts stay where they are
+        share = F.broadcast(share)
     sample = rows.join(share, "lang").filter("draw < below").select("lang", "text")
     counts = sample.mapInArrow(gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     return Model(counts) if len(counts) else None

@@ -193,17 +193,18 @@ def links(classes: DataFrame, shingle: int, threshold: float, weighting: str, n_
     spark = classes.sparkSession
     keyed = classes.select("cid", "k1", "text").mapInArrow(bands(shingle, weighting, n_bands, rows), "band int, key long, cid long, k1 long")
     keyed = materialise(keyed, "bands")
-    shared = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "key")
+    shared = materialise(keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "key"), "shared")
     left = materialise(keyed.join(shared, ["band", "key"]), "buckets")
-    wanted = left.select("cid", "k1").distinct()
+    wanted = left.select(F.col("cid").alias("wanted"), "k1").distinct()
     sets = materialise(
-        classes.select("k1", "cid", "text").join(wanted, ["k1", "cid"]).select("cid", "text").mapInArrow(set_rows(shingle, weighting), "cid long, els binary, wts binary"),
+        # on k1 alone, as the texts are bucketed, so that the join moves no text
+        classes.select("k1", "cid", "text").join(wanted, "k1").filter("cid = wanted").select("cid", "text").mapInArrow(set_rows(shingle, weighting), "cid long, els binary, wts binary"),
         "sets",
     )
     found = []
     for turn in range(rounds):
         order = F.struct(F.xxhash64(F.lit(turn), "cid").alias("o"), F.col("cid").alias("lead"))
-        leaders = left.groupBy("band", "key").agg(F.min(order).alias("f")).select("band", "key", F.col("f.lead").alias("lead"))
+        leaders = materialise(left.groupBy("band", "key").agg(F.min(order).alias("f")).select("band", "key", F.col("f.lead").alias("lead")), "leaders")
         pairs = materialise(left.join(leaders, ["band", "key"]).filter("cid <> lead").select("band", "key", "cid", "lead"), "pairs")
         # a pair met in both directions is compared once
         once = pairs.select(F.least("cid", "lead").alias("cid"), F.greatest("cid", "lead").alias("lead")).distinct()
