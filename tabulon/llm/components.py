@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .storage import discard, materialise
 
 
 def _large(e: DataFrame) -> DataFrame:
@@ -35,7 +35,8 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     e = materialise(edges.select("u", "v").filter("u <> v").distinct(), "edges")
     before = None
     for _ in range(most_rounds):
-        e = materialise(_small(_large(e)), "edges")
+        old, e = e, materialise(_small(_large(e)), "edges")
+        discard(old)
         now = _state(e)
         if now == before:
             break

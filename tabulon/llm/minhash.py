@@ -15,6 +15,14 @@ so on for ``rounds`` rounds, each with another order of leaders.  Verified
 links become classes by connected components.  A bucket of any size costs one
 comparison a member and round, and equal texts are one member.
 
+What leaders cannot settle is joined exactly: the texts of every bucket that
+still holds several classes go through a prefix filter (similar sets share one
+of their rarest elements, early enough in both to leave room for the overlap; common
+passages are never among them), and only texts of different classes are
+compared.  So no link between
+classes is lost that shares a band, and a large class is not paired with
+itself.
+
 Defined results: null or wordless texts are classes of their own; a text of
 fewer than ``shingle`` words is one shingle; equal texts always share a class,
 whatever their ids; repeated rows keep their rows; a null id orders last.
@@ -28,17 +36,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from . import kernels as K
 from .components import components
 from .repeats import text_classes
-from .storage import materialise
+from .storage import discard, materialise
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS = 25
 ROWS = 5
-ROUNDS = 4
+ROUNDS = 3
 U64 = np.uint64
 #: Darts thrown at once by an element.
 VOLLEY = 4
@@ -188,43 +197,107 @@ def compare(threshold: float):
     return run
 
 
-def links(classes: DataFrame, shingle: int, threshold: float, weighting: str, n_bands: int, rows: int, rounds: int) -> DataFrame:
-    """Verified (u, v) links between distinct texts, by class number."""
-    spark = classes.sparkSession
+def element_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cid, root, els, wts) to (cid, root, el): one row an element; the copies of a weighted element are elements of their own."""
+    for batch in batches:
+        cids, roots, els, wts = (batch.column(c) for c in ("cid", "root", "els", "wts"))
+        for i in range(batch.num_rows):
+            el, w = np.frombuffer(els[i].as_py(), "<u4").astype(U64), np.frombuffer(wts[i].as_py(), "<u4")
+            if len(w):
+                copy = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+                el = K.mix64(np.repeat(el, w) + (copy.astype(U64) << U64(32)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(el), cids[i].as_py())), pa.array(np.full(len(el), roots[i].as_py())), pa.array(K.signed(el))], ["cid", "root", "el"])
+
+
+def with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` with the class of each cid; a text without links is its own class."""
+    return rows.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+
+
+def across(members: DataFrame, *key: str) -> DataFrame:
+    """Pairs of members of one group and different classes: all but the largest class of a group against the whole group."""
+    sizes = members.groupBy(*key, "root").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy(*key).agg(F.max(F.struct("n", "root")).alias("most"), F.count(F.lit(1)).alias("roots"))
+    main = materialise(main.filter("roots > 1").select(*key, F.col("most.root").alias("main")), "mixed")
+    mixed = members.join(main, list(key))
+    minor = mixed.filter("root <> main").select(*key, F.col("cid").alias("lead"), *[F.col(c).alias(f"lead_{c}") for c in members.columns if c not in (*key, "cid")])
+    # a pair of two minor members is met twice: the one with the lesser cid on the left is kept
+    return mixed.join(minor, list(key)).filter((F.col("root") != F.col("lead_root")) & ((F.col("root") == F.col("main")) | (F.col("cid") < F.col("lead"))))
+
+
+def candidates(buckets: DataFrame, roots: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(cid, lead) of every pair of classes' texts in buckets of several classes that passes the prefix filter."""
+    placed = with_roots(buckets, roots)
+    mixed = placed.groupBy("band", "key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("band", "key")
+    mixed = materialise(mixed, "mixed")
+    open_texts = with_roots(buckets.join(mixed, ["band", "key"], "left_semi").select("cid").distinct(), roots)
+    rows = materialise(sets.join(open_texts, "cid").select("cid", "root", "els", "wts").mapInArrow(element_rows, "cid long, root long, el long"), "elements")
+    sizes = rows.groupBy("cid").agg(F.count(F.lit(1)).alias("size"))
+    held = materialise(rows.groupBy("el").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"), "held")
+    own = W.partitionBy("cid")
+    # rarest first; the elements of no other text come before all of these
+    ranked = rows.join(held, "el").withColumns({"nth": F.row_number().over(own.orderBy("held", "el")), "shared": F.count(F.lit(1)).over(own)})
+    ranked = ranked.join(sizes, "cid").withColumn("nth", F.col("nth") + F.col("size") - F.col("shared"))
+    prefix = ranked.filter(F.col("nth") <= F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - 1e-6) + 1)
+    prefix = materialise(prefix.select("el", "cid", "root", "size", "nth"), "prefix")
+    # two sets of enough overlap have their first common element early in both
+    overlap = F.ceil((F.col("size") + F.col("lead_size")) * (threshold / (1 + threshold)) - 1e-6)
+    met = across(prefix, "el").filter((F.col("size") - F.col("nth") + 1 >= overlap) & (F.col("lead_size") - F.col("lead_nth") + 1 >= overlap))
+    out = materialise(met.select(F.least("cid", "lead").alias("cid"), F.greatest("cid", "lead").alias("lead")).distinct(), "rest")
+    discard(mixed, rows, held, prefix)
+    return out
+
+
+def checked_pairs(once: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(cid, lead, close) of pairs, by exact similarity."""
+    other = sets.select(F.col("cid").alias("lead"), F.col("els").alias("lead_els"), F.col("wts").alias("lead_wts"))
+    return materialise(once.join(sets, "cid").join(other, "lead").mapInArrow(compare(threshold), "cid long, lead long, close boolean"), "checked")
+
+
+def union_of(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for x in frames[1:]:
+        out = out.union(x)
+    return out
+
+
+def classes_of_links(classes: DataFrame, shingle: int, threshold: float, weighting: str, n_bands: int, rows: int, rounds: int) -> DataFrame:
+    """(node, root) of the texts that have a link, by class number."""
     keyed = classes.select("cid", "k1", "text").mapInArrow(bands(shingle, weighting, n_bands, rows), "band int, key long, cid long, k1 long")
     keyed = materialise(keyed, "bands")
     shared = materialise(keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "key"), "shared")
-    left = materialise(keyed.join(shared, ["band", "key"]), "buckets")
-    wanted = left.select(F.col("cid").alias("wanted"), "k1").distinct()
+    buckets = materialise(keyed.join(shared, ["band", "key"]), "buckets")
+    discard(keyed, shared)
+    wanted = buckets.select(F.col("cid").alias("wanted"), "k1").distinct()
     sets = materialise(
         # on k1 alone, as the texts are bucketed, so that the join moves no text
         classes.select("k1", "cid", "text").join(wanted, "k1").filter("cid = wanted").select("cid", "text").mapInArrow(set_rows(shingle, weighting), "cid long, els binary, wts binary"),
         "sets",
     )
-    found = []
+    left, seen = buckets, []
     for turn in range(rounds):
         order = F.struct(F.xxhash64(F.lit(turn), "cid").alias("o"), F.col("cid").alias("lead"))
         leaders = materialise(left.groupBy("band", "key").agg(F.min(order).alias("f")).select("band", "key", F.col("f.lead").alias("lead")), "leaders")
         pairs = materialise(left.join(leaders, ["band", "key"]).filter("cid <> lead").select("band", "key", "cid", "lead"), "pairs")
         # a pair met in both directions is compared once
-        once = pairs.select(F.least("cid", "lead").alias("cid"), F.greatest("cid", "lead").alias("lead")).distinct()
-        checked = materialise(
-            once.join(sets, "cid")
-            .join(sets.select(F.col("cid").alias("lead"), F.col("els").alias("lead_els"), F.col("wts").alias("lead_wts")), "lead")
-            .mapInArrow(compare(threshold), "cid long, lead long, close boolean"),
-            "checked",
-        )
-        good = checked.filter("close").select(F.col("cid").alias("u"), F.col("lead").alias("v"))
-        found.append(good)
-        if turn + 1 < rounds:
-            bad = checked.filter("not close")
-            bad = bad.select("cid", "lead").union(bad.select("lead", "cid"))
-            left = materialise(pairs.join(bad, ["cid", "lead"], "left_semi").select("band", "key", "cid"), "buckets")
-            if left.isEmpty():
-                break
-    out = found[0]
-    for x in found[1:]:
-        out = out.union(x)
+        checked = checked_pairs(pairs.select(F.least("cid", "lead").alias("cid"), F.greatest("cid", "lead").alias("lead")).distinct(), sets, threshold)
+        seen.append(checked)
+        bad = checked.filter("not close")
+        bad = bad.select("cid", "lead").union(bad.select("lead", "cid"))
+        old, left = left, materialise(pairs.join(bad, ["cid", "lead"], "left_semi").select("band", "key", "cid"), "left")
+        discard(leaders, pairs, *([old] if turn else []))
+        if left.isEmpty():
+            break
+    if rounds:
+        discard(left)
+    known = union_of(seen)
+    close = known.filter("close").select("cid", "lead")
+    roots = materialise(components(close.toDF("u", "v")), "roots")
+    rest = candidates(buckets, roots, sets, threshold)
+    more = checked_pairs(rest.join(known.filter("not close"), ["cid", "lead"], "left_anti"), sets, threshold)
+    discard(buckets, roots, sets, rest)
+    out = materialise(components(close.union(more.filter("close").select("cid", "lead")).toDF("u", "v")), "roots")
+    discard(more, *seen)
     return out
 
 
@@ -241,10 +314,10 @@ def near_classes(
 ) -> DataFrame:
     """One row per input row: id, k1, k2 (text key), class_id (least id of the class), class_k (text key of its first text)."""
     counts, classes = text_classes(docs, id_col, text_col)
-    linked = links(classes, shingle, threshold, weighting, n_bands, rows, rounds)
-    roots = components(linked)
+    roots = classes_of_links(classes, shingle, threshold, weighting, n_bands, rows, rounds)
     info = classes.select("cid", "k1", "k2", "first_id", F.col("text").rlike(r"[^\x20\x09-\x0D]").alias("worded"))
     info = materialise(info.join(roots, info.cid == roots.node, "left").select("cid", "k1", "k2", "first_id", "worded", F.coalesce("root", "cid").alias("root")), "roots")
+    discard(classes, roots)
     least = info.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("nil"), "first_id", "k1", "k2")).alias("f"))
     named = info.join(least, "root").select("k1", "k2", "worded", F.col("f.first_id").alias("least_id"), F.col("f.k1").alias("class_k1"), F.col("f.k2").alias("class_k2"))
     return (

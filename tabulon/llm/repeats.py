@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .storage import bucketed, materialise
+from .storage import bucketed, discard, materialise
 
 U64 = np.uint64
 
@@ -270,14 +270,16 @@ def text_classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame
     return counts, bucketed(classes, "k1", "texts")
 
 
-def find(plan: Plan, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(hot, marks): anchors that occur twice, per text; and the first occurrences of every level, per text."""
+def find(plan: Plan, classes: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(hot, marks, stored): anchors that occur twice, per text; the first occurrences of every level, per text; what these are read from."""
     found = classes.select("k1", "text").mapInArrow(anchors(plan), "h long, k1 long, a int")
     # written first, so that both sides of the join are exchanges and a hot hash can be split
     twice = materialise(found.select("h").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "twice")
     hot = materialise(
         found.join(twice, "h").groupBy("k1").agg(F.collect_list("a").alias("hot")), "hot"
     )
+    discard(twice)
+    stored = [hot]
     listed = hot.select("k1", F.col("hot").alias("at"), F.transform("hot", lambda _: F.lit(0)).alias("d"))
     levels = []
     for level in range(len(plan.cuts) + 1):
@@ -299,6 +301,9 @@ def find(plan: Plan, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
         else:
             firsts = unions.select("f.k1", "f.k2", "f.a", "f.d", multi, F.lit(False).alias("split"))
         firsts = materialise(firsts, "firsts")
+        stored.append(firsts)
+        if level < len(plan.cuts):
+            discard(unions, several)
         levels.append(firsts.withColumn("level", F.lit(level)))
         listed = (
             firsts.filter("split")
@@ -311,13 +316,13 @@ def find(plan: Plan, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
         marks = marks.unionByName(x)
     # by k1 alone, as the texts are bucketed, so that the join moves no text
     marks = marks.groupBy("k1").agg(F.collect_list(F.struct("k2", "level", "a", "d", "multi", "split")).alias("marks"))
-    return hot, marks
+    return hot, marks, stored
 
 
 def remove_repeats(plan: Plan, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per input row: id, n_units, kept (binary), spans (start, length in units)."""
     rows, classes = text_classes(docs, id_col, text_col)
-    hot, marks = find(plan, classes)
+    hot, marks, stored = find(plan, classes)
     empty_hot = F.array().cast("array<int>")
     empty_marks = F.array().cast("array<struct<k2:bigint,level:int,a:int,d:int,multi:boolean,split:boolean>>")
     fields = ("level", "a", "d", "multi", "split")
@@ -340,6 +345,7 @@ def remove_repeats(plan: Plan, docs: DataFrame, id_col: str, text_col: str) -> D
         ]
 
     cut = materialise(cut, "cut")
+    discard(classes, *stored)
     gone_first = F.lit(False) if plan.first_stays else (whole & (F.col("n_rows") > 1))
     firsts = cut.select(
         F.col("first_id").alias("id"), *shown(gone_first), F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_first"))).alias("i")

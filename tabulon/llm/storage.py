@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Where each stored result lies, and its table name if it is bucketed.
+STORED: WeakKeyDictionary[DataFrame, tuple[str, str | None]] = WeakKeyDictionary()
+
 
 def work_dir(spark: SparkSession) -> str:
     """The shared folder that the session names, or a folder of its own where none is set (tests)."""
@@ -27,7 +31,20 @@ def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{work_dir(spark)}/tabulon/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    STORED[out] = (path, None)
+    return out
+
+
+def discard(*stored: DataFrame) -> None:
+    """Delete stored results that no later plan reads: whatever was made from them must itself be stored."""
+    for df in stored:
+        path, ident = STORED.pop(df)
+        spark = df.sparkSession
+        if ident:
+            spark.sql(f"DROP TABLE IF EXISTS {ident}")
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
 def bucketed(df: DataFrame, key: str, name: str = "store") -> DataFrame:
@@ -43,4 +60,6 @@ def bucketed(df: DataFrame, key: str, name: str = "store") -> DataFrame:
         .bucketBy(n, key)
         .saveAsTable(ident)
     )
-    return spark.table(ident)
+    out = spark.table(ident)
+    STORED[out] = (path, ident)
+    return out

@@ -115,8 +115,8 @@ def test_decontaminate_both_ways(spark, docs, texts):
         assert bag(got) == bag(want)
 
 
-def test_near_classes(docs):
-    rows = [(r.doc_id, (r.text or "").split()) for r in docs.collect()]
+def near_by_brute_force(rows):
+    """(id, class_id) of (id, words) rows."""
     sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} for i, w in rows if w}
     parent = {i: i for i in sets}
 
@@ -131,8 +131,29 @@ def test_near_classes(docs):
             if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
                 x, y = sorted((root(a), root(b)), key=order)
                 parent[y] = x
-    want = bag((i, root(i) if w else i) for i, w in rows)
-    assert bag((r.id, r.class_id) for r in minhash.near_classes(docs).collect()) == want
+    return bag((i, root(i) if w else i) for i, w in rows)
+
+
+def test_near_classes(docs):
+    rows = [(r.doc_id, (r.text or "").split()) for r in docs.collect()]
+    assert bag((r.id, r.class_id) for r in minhash.near_classes(docs).collect()) == near_by_brute_force(rows)
+
+
+def test_near_classes_links_that_no_leader_shows(spark):
+    # copies with one to three changed words each: many pairs just below the threshold, classes joined by chains
+    rng = random.Random(5)
+    rows = []
+    for start in (0, 1000):
+        base = [rng.choice(VOCAB) for _ in range(70)]
+        for i in range(60):
+            words = list(base)
+            for _ in range(rng.randint(1, 3)):
+                words[rng.choice((2, 15, 30, 45, 67))] = rng.choice(("one", "two", f"own{i}"))
+            rows.append((start + i, words))
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string")
+    want = near_by_brute_force(rows)
+    assert 2 < len({c for _, c in want}) < len(rows)
+    assert bag((r.id, r.class_id) for r in minhash.near_classes(frame, rounds=1).collect()) == want
 
 
 def test_dart_signatures_estimate_weighted_similarity():
