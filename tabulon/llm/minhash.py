@@ -9,17 +9,15 @@ of a coordinate is its signature there.  Coordinates left empty get more darts
 weighted Jaccard similarity.
 
 Signatures are cut into bands.  Texts that share a band are compared with the
-band's leader by exact similarity of their shingle sets; those that are not
-similar to the leader are compared with a second leader of the remainder, and
-so on for ``rounds`` rounds, each with another order of leaders.  Verified
-links become classes by connected components.  A bucket of any size costs one
-comparison a member and round, and equal texts are one member.
+band's leader by exact similarity of their shingle sets, which costs one
+comparison a member whatever the size of the bucket; equal texts are one
+member.  Members similar to one leader are one class.
 
 What leaders cannot settle is joined exactly: the texts of every bucket that
 still holds several classes go through a prefix filter (similar sets share one
 of their rarest elements, early enough in both to leave room for the overlap; common
 passages are never among them), and only texts of different classes are
-compared.  So no link between
+compared.  Verified links become classes by connected components.  So no link between
 classes is lost that shares a band, and a large class is not paired with
 itself.
 
@@ -47,7 +45,6 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS = 25
 ROWS = 5
-ROUNDS = 3
 U64 = np.uint64
 #: Darts thrown at once by an element.
 VOLLEY = 4
@@ -254,14 +251,7 @@ def checked_pairs(once: DataFrame, sets: DataFrame, threshold: float) -> DataFra
     return materialise(once.join(sets, "cid").join(other, "lead").mapInArrow(compare(threshold), "cid long, lead long, close boolean"), "checked")
 
 
-def union_of(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for x in frames[1:]:
-        out = out.union(x)
-    return out
-
-
-def classes_of_links(classes: DataFrame, shingle: int, threshold: float, weighting: str, n_bands: int, rows: int, rounds: int) -> DataFrame:
+def classes_of_links(classes: DataFrame, shingle: int, threshold: float, weighting: str, n_bands: int, rows: int) -> DataFrame:
     """(node, root) of the texts that have a link, by class number."""
     keyed = classes.select("cid", "k1", "text").mapInArrow(bands(shingle, weighting, n_bands, rows), "band int, key long, cid long, k1 long")
     keyed = materialise(keyed, "bands")
@@ -274,30 +264,20 @@ def classes_of_links(classes: DataFrame, shingle: int, threshold: float, weighti
         classes.select("k1", "cid", "text").join(wanted, "k1").filter("cid = wanted").select("cid", "text").mapInArrow(set_rows(shingle, weighting), "cid long, els binary, wts binary"),
         "sets",
     )
-    left, seen = buckets, []
-    for turn in range(rounds):
-        order = F.struct(F.xxhash64(F.lit(turn), "cid").alias("o"), F.col("cid").alias("lead"))
-        leaders = materialise(left.groupBy("band", "key").agg(F.min(order).alias("f")).select("band", "key", F.col("f.lead").alias("lead")), "leaders")
-        pairs = materialise(left.join(leaders, ["band", "key"]).filter("cid <> lead").select("band", "key", "cid", "lead"), "pairs")
-        # a pair met in both directions is compared once
-        checked = checked_pairs(pairs.select(F.least("cid", "lead").alias("cid"), F.greatest("cid", "lead").alias("lead")).distinct(), sets, threshold)
-        seen.append(checked)
-        bad = checked.filter("not close")
-        bad = bad.select("cid", "lead").union(bad.select("lead", "cid"))
-        old, left = left, materialise(pairs.join(bad, ["cid", "lead"], "left_semi").select("band", "key", "cid"), "left")
-        discard(leaders, pairs, *([old] if turn else []))
-        if left.isEmpty():
-            break
-    if rounds:
-        discard(left)
-    known = union_of(seen)
+    # one order of leaders in all bands, so that few pairs differ
+    order = F.struct(F.xxhash64("cid").alias("o"), F.col("cid").alias("lead"))
+    leaders = buckets.groupBy("band", "key").agg(F.min(order).alias("f")).select("band", "key", F.col("f.lead").alias("lead"))
+    known = checked_pairs(buckets.join(materialise(leaders, "leaders"), ["band", "key"]).filter("cid <> lead").select("cid", "lead").distinct(), sets, threshold)
     close = known.filter("close").select("cid", "lead")
-    roots = materialise(components(close.toDF("u", "v")), "roots")
+    # texts similar to one leader are one class; a leader stands in its own
+    ends = close.union(close.select("lead", "lead").distinct())
+    roots = materialise(ends.groupBy(F.col("cid").alias("node")).agg(F.min(F.struct(F.xxhash64("lead").alias("o"), "lead")).alias("f")).select("node", F.col("f.lead").alias("root")), "roots")
     rest = candidates(buckets, roots, sets, threshold)
-    more = checked_pairs(rest.join(known.filter("not close"), ["cid", "lead"], "left_anti"), sets, threshold)
+    pair = [F.least("cid", "lead").alias("cid"), F.greatest("cid", "lead").alias("lead")]
+    more = checked_pairs(rest.join(known.filter("not close").select(*pair), ["cid", "lead"], "left_anti"), sets, threshold)
     discard(buckets, roots, sets, rest)
     out = materialise(components(close.union(more.filter("close").select("cid", "lead")).toDF("u", "v")), "roots")
-    discard(more, *seen)
+    discard(known, more)
     return out
 
 
@@ -310,11 +290,10 @@ def near_classes(
     weighting: str = "set",
     n_bands: int = BANDS,
     rows: int = ROWS,
-    rounds: int = ROUNDS,
 ) -> DataFrame:
     """One row per input row: id, k1, k2 (text key), class_id (least id of the class), class_k (text key of its first text)."""
     counts, classes = text_classes(docs, id_col, text_col)
-    roots = classes_of_links(classes, shingle, threshold, weighting, n_bands, rows, rounds)
+    roots = classes_of_links(classes, shingle, threshold, weighting, n_bands, rows)
     info = classes.select("cid", "k1", "k2", "first_id", F.col("text").rlike(r"[^\x20\x09-\x0D]").alias("worded"))
     info = materialise(info.join(roots, info.cid == roots.node, "left").select("cid", "k1", "k2", "first_id", "worded", F.coalesce("root", "cid").alias("root")), "roots")
     discard(classes, roots)

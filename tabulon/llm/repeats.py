@@ -263,8 +263,9 @@ def text_classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame
     least = counts.groupBy("k1", "k2").agg(
         F.min(F.struct(F.col("id").isNull().alias("nil"), "id", "n")).alias("f"), F.sum("n").alias("n_rows")
     )
-    texts = rows.select("k1", "k2", "text").dropDuplicates(["k1", "k2"])
-    classes = texts.join(least, ["k1", "k2"]).select(
+    # grouped by k1 alone (equal texts combined before the exchange), so that each task writes one bucket
+    texts = rows.groupBy("k1").agg(F.collect_set(F.struct("k2", "text")).alias("x")).select("k1", F.explode("x").alias("x")).select("k1", "x.k2", "x.text")
+    classes = texts.join(least.withColumnRenamed("k2", "of"), "k1").filter("k2 = of").select(
         F.monotonically_increasing_id().alias("cid"), "k1", "k2", F.col("f.id").alias("first_id"), "n_rows", F.col("f.n").alias("n_first"), "text"
     )
     return counts, bucketed(classes, "k1", "texts")

@@ -153,7 +153,7 @@ def test_near_classes_links_that_no_leader_shows(spark):
     frame = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string")
     want = near_by_brute_force(rows)
     assert 2 < len({c for _, c in want}) < len(rows)
-    assert bag((r.id, r.class_id) for r in minhash.near_classes(frame, rounds=1).collect()) == want
+    assert bag((r.id, r.class_id) for r in minhash.near_classes(frame).collect()) == want
 
 
 def test_dart_signatures_estimate_weighted_similarity():
