@@ -226,7 +226,6 @@ def candidates(buckets: DataFrame, roots: DataFrame, sets: DataFrame, threshold:
     """(cid, lead) of every pair of classes' texts in buckets of several classes that passes the prefix filter."""
     placed = with_roots(buckets, roots)
     mixed = placed.groupBy("band", "key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("band", "key")
-    mixed = materialise(mixed, "mixed")
     open_texts = with_roots(buckets.join(mixed, ["band", "key"], "left_semi").select("cid").distinct(), roots)
     rows = materialise(sets.join(open_texts, "cid").select("cid", "root", "els", "wts").mapInArrow(element_rows, "cid long, root long, el long"), "elements")
     sizes = rows.groupBy("cid").agg(F.count(F.lit(1)).alias("size"))
@@ -237,11 +236,15 @@ def candidates(buckets: DataFrame, roots: DataFrame, sets: DataFrame, threshold:
     ranked = ranked.join(sizes, "cid").withColumn("nth", F.col("nth") + F.col("size") - F.col("shared"))
     prefix = ranked.filter(F.col("nth") <= F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - 1e-6) + 1)
     prefix = materialise(prefix.select("el", "cid", "root", "size", "nth"), "prefix")
+    # elements held by the same texts give the same pairs: one group with the earliest place in each text
+    alike = prefix.groupBy("el").agg(F.count(F.lit(1)).alias("held"), *[F.bit_xor(F.xxhash64(F.lit(i), "cid")).alias(f"g{i}") for i in range(2)]).filter("held > 1")
+    grouped = prefix.join(alike, "el").groupBy("g0", "g1", "held", "cid").agg(F.first("root").alias("root"), F.first("size").alias("size"), F.min("nth").alias("nth"))
+    grouped = materialise(grouped, "groups")
     # two sets of enough overlap have their first common element early in both
     overlap = F.ceil((F.col("size") + F.col("lead_size")) * (threshold / (1 + threshold)) - 1e-6)
-    met = across(prefix, "el").filter((F.col("size") - F.col("nth") + 1 >= overlap) & (F.col("lead_size") - F.col("lead_nth") + 1 >= overlap))
+    met = across(grouped, "g0", "g1", "held").filter((F.col("size") - F.col("nth") + 1 >= overlap) & (F.col("lead_size") - F.col("lead_nth") + 1 >= overlap))
     out = materialise(met.select(F.least("cid", "lead").alias("cid"), F.greatest("cid", "lead").alias("lead")).distinct(), "rest")
-    discard(mixed, rows, held, prefix)
+    discard(rows, held, prefix, grouped)
     return out
 
 
