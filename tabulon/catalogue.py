@@ -474,6 +474,33 @@ add(
     "SELECT o_orderkey, 'Q' AS pa, 2020::BIGINT AS y, 2::BIGINT AS m FROM orders",
 )
 
+# ---- whole tables: the operators whose queries above take a part of their rows, with operands that differ by values
+WHOLE_PARTS = 'a := events[filter event_type <> "click"][keep value]; b := events[filter value > 20][calc value := value + 1][keep value];'
+IN_A, IN_B = "coalesce(event_type <> 'click', false)", "coalesce(value > 20, false)"
+add("intersect_whole", WHOLE_PARTS + "res := intersect(a, b);", f"SELECT event_id, value FROM events WHERE {IN_A} AND {IN_B}")
+add("setdiff_whole", WHOLE_PARTS + "res := setdiff(a, b);", f"SELECT event_id, value FROM events WHERE {IN_A} AND NOT {IN_B}")
+add("symdiff_whole", WHOLE_PARTS + "res := symdiff(a, b);", f"SELECT event_id, value FROM events WHERE {IN_A} AND NOT {IN_B} UNION ALL SELECT event_id, value + 1 FROM events WHERE {IN_B} AND NOT {IN_A}")
+add("union_first_wins_whole", WHOLE_PARTS + "res := union(a, b);", f"SELECT event_id, CASE WHEN {IN_A} THEN value ELSE value + 1 END AS value FROM events WHERE {IN_A} OR {IN_B}")
+WHOLE_TWO = "a := customer[calc x := c_acctbal, y := c_nationkey * 1.0][keep x, y]; b := customer[calc x := c_acctbal / 2, y := c_custkey * 1.0][keep x, y];"
+add("ds_plus_ds_whole", WHOLE_TWO + "res := a + b;", "SELECT c_custkey, c_acctbal + c_acctbal / 2 AS x, c_nationkey + c_custkey::DOUBLE AS y FROM customer")
+add("ds_multi_bool_whole", WHOLE_TWO + "res := a > b;", "SELECT c_custkey, c_acctbal > c_acctbal / 2 AS x, c_nationkey > c_custkey AS y FROM customer")
+add(
+    "join_apply_whole",
+    'a := customer[keep c_acctbal]; b := customer[filter c_mktsegment <> "BUILDING"][keep c_acctbal]; res := inner_join(a as d1, b as d2 apply d1 + d2);',
+    "SELECT c_custkey, c_acctbal + c_acctbal AS c_acctbal FROM customer WHERE c_mktsegment <> 'BUILDING'",
+)
+
+
+def _register_whole(session: Session) -> None:
+    session.register("halved", lambda x: x / 2, ["number"], "number")
+    session.register_dataset_fn("above", lambda ds, n: Dataset(ds.df.filter(f"a > {n}"), ds.structure))
+
+
+add("registered_functions_whole", "res := above(orders[calc a := halved(o_totalprice)][keep a], 1000);", "SELECT o_orderkey, o_totalprice / 2 AS a FROM orders WHERE o_totalprice / 2 > 1000", prepare=_register_whole)
+for _name in [n for n in Q if n.startswith("check_hierarchy") or n == "hierarchy"]:
+    add(f"{_name}_whole", Q[_name].script.replace("[filter mod(o_custkey, 50) < 40]", ""), Q[_name].sql.replace(" WHERE o_custkey % 50 < 40", ""))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(Q)
 
