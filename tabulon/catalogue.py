@@ -501,6 +501,29 @@ for _name in [n for n in Q if n.startswith("check_hierarchy") or n == "hierarchy
     add(f"{_name}_whole", Q[_name].script.replace("[filter mod(o_custkey, 50) < 40]", ""), Q[_name].sql.replace(" WHERE o_custkey % 50 < 40", ""))
 
 
+WHEN = (
+    "define hierarchical ruleset hw (variable condition cust as k, n as m rule code) is late: when mod(k, 3) = 0 then T = O + F errorcode \"late\"; many: when m > 4 then O = F errorcode \"many\"; every: F = O - P end hierarchical ruleset; "
+    "define hierarchical ruleset hx (variable condition cust as k rule code) is when mod(k, 3) = 0 then A = O + F; when mod(k, 3) <> 0 then A = O - F; B = A + P end hierarchical ruleset; "
+    "base := orders[calc identifier cust := o_custkey, identifier code := if mod(o_orderkey, 11) = 0 then \"T\" else o_orderstatus, v := floor(o_totalprice / 1000) - 100][keep v]; "
+    "items := base[aggr v := sum(v), n := count() group by cust, code][calc v := v, attribute n := n]; "
+)
+WHEN_SQL = """WITH items AS (SELECT o_custkey AS cust, CASE WHEN o_orderkey % 11 = 0 THEN 'T' ELSE o_orderstatus END AS code, sum((floor(o_totalprice / 1000) - 100)::BIGINT)::BIGINT AS v, count(*) AS n FROM orders GROUP BY ALL),
+g AS (SELECT cust, max(v) FILTER (code = 'T') AS t, max(v) FILTER (code = 'O') AS o, max(v) FILTER (code = 'F') AS f, max(v) FILTER (code = 'P') AS p, max(v) FILTER (code = 'O' AND n > 4) AS o4, max(v) FILTER (code = 'F' AND n > 4) AS f4 FROM items GROUP BY cust) """
+add(
+    "check_hierarchy_when",
+    WHEN + "res := check_hierarchy(items, hw rule code non_null all_measures)[drop errorlevel];",
+    WHEN_SQL
+    + """SELECT cust, 'T' AS code, 'late' AS ruleid, t AS v, t = o + f AS bool_var, t - (o + f) AS imbalance, CASE WHEN NOT t = o + f THEN 'late' END AS errorcode FROM g WHERE cust % 3 = 0 AND t + o + f IS NOT NULL
+UNION ALL SELECT cust, 'O', 'many', o4, o4 = f4, o4 - f4, CASE WHEN NOT o4 = f4 THEN 'many' END FROM g WHERE o4 + f4 IS NOT NULL
+UNION ALL SELECT cust, 'F', 'every', f, f = o - p, f - (o - p), NULL FROM g WHERE f + o + p IS NOT NULL""",
+)
+add(
+    "hierarchy_when",
+    WHEN + "res := hierarchy(items, hx rule code non_null);",
+    WHEN_SQL + ", a AS (SELECT cust, p, CASE WHEN cust % 3 = 0 THEN o + f ELSE o - f END AS a FROM g) SELECT cust, 'A' AS code, a AS v FROM a WHERE a IS NOT NULL UNION ALL SELECT cust, 'B', a + p FROM a WHERE a + p IS NOT NULL",
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(Q)
 

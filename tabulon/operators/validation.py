@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument
@@ -100,26 +100,40 @@ def check_datapoint(ds: Dataset, ruleset, evaluate, components: tuple[str, ...]
 class Items:
     """Code items spread to columns: per group whether each is present, and its value."""
 
-    def __init__(self, ds: Dataset, component: str, codes: list[str], pos=None):
+    def __init__(self, ds: Dataset, component: str, rules: list, conditions: list[Column | None], pos=None):
         if component not in ds.ids:
             raise InvalidArgument(f"{component} is not an identifier of the dataset", pos)
         if len(ds.measures) != 1 or ds.structure[ds.measures[0]].type not in NUMERIC:
             raise InvalidArgument(f"Dataset {', '.join(ds.structure.components)} is not monomeasure", pos)
         self.others = [n for n in ds.ids if n != component]
         self.measure, self.type = ds.measures[0], ds.structure[ds.measures[0]].type
-        self.place = {c: i for i, c in enumerate(dict.fromkeys(codes))}
-        is_code = {c: col(component).cast("string") == F.lit(c) for c in self.place}
-        wanted = ds.df.filter(col(component).cast("string").isin(list(self.place)))
-        parts = []
-        for c, i in self.place.items():
-            parts += [F.coalesce(F.bool_or(is_code[c]), F.lit(False)).alias(f"__p{i}"), F.max(F.when(is_code[c], col(self.measure))).alias(f"__v{i}")]
-        self.df = wanted.groupBy(*[col(n) for n in self.others]).agg(*parts)
+        codes = dict.fromkeys(c for r in rules for c in involved(r))
+        self.when = {id(r): i for i, (r, x) in enumerate(zip(rules, conditions, strict=True)) if x is not None}
+        # an item of a conditional rule has columns of its own, next to those that all rows of the item fill
+        wanted = [(c, None) for c in codes] + [(c, self.when[id(r)]) for r in rules if id(r) in self.when for c in involved(r)]
+        self.place = {w: i for i, w in enumerate(dict.fromkeys(wanted))}
+        rows = ds.df.filter(col(component).cast("string").isin(list(codes)))
+        rows = rows.withColumns({f"__w{i}": F.coalesce(conditions[i], F.lit(False)) for i in self.when.values()}) if self.when else rows
+        parts = [F.bool_or(F.col(f"__w{i}")).alias(f"__h{i}") for i in self.when.values()]
+        for (c, i), n in self.place.items():
+            own = col(component).cast("string") == F.lit(c)
+            own = own if i is None else own & F.col(f"__w{i}")
+            parts += [F.coalesce(F.bool_or(own), F.lit(False)).alias(f"__p{n}"), F.max(F.when(own, col(self.measure))).alias(f"__v{n}")]
+        self.df = rows.groupBy(*[col(n) for n in self.others]).agg(*parts)
+
+    def present(self, code: str, rule=None) -> Column:
+        return F.col(f"__p{self.place[code, self.when.get(id(rule))]}")
+
+    def value(self, code: str, rule=None) -> Column:
+        return F.col(f"__v{self.place[code, self.when.get(id(rule))]}")
+
+    def holds(self, rule) -> Column:
+        """Whether some row of the group fulfils the rule's condition; only there the rule is evaluated."""
+        return F.col(f"__h{self.when[id(rule)]}") if id(rule) in self.when else F.lit(True)
 
-    def present(self, code: str) -> Column:
-        return F.col(f"__p{self.place[code]}")
 
-    def value(self, code: str) -> Column:
-        return F.col(f"__v{self.place[code]}")
+def involved(rule) -> list[str]:
+    return list(dict.fromkeys([rule.left, *(c for _, c in rule.items)]))
 
 
 def emitted(mode: str, items: list[tuple[Column, Column]]) -> Column:
@@ -148,27 +162,36 @@ def total(mode: str, parts: list[tuple[int, Column, Column]]) -> Column:
 COMPARE = {"=": lambda a, b: a == b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b}
 
 
-def check_hierarchy(ds: Dataset, ruleset, component: str, mode: str | None, output: str | None, pos=None) -> Dataset:
-    """Each rule in each group of the other identifiers: one aggregation, then the rules exploded."""
+def check_hierarchy(ds: Dataset, ruleset, component: str, mode: str | None, output: str | None, pos=None, conditions: list[Column | None] | None = None, computed: bool = False) -> Dataset:
+    """Each rule in each group of the other identifiers: one aggregation, then the rules exploded.
+
+    A rule's condition holds for that rule alone.  With ``computed``, items that
+    equality rules compute stand in for those that the dataset lacks.
+    """
     mode = mode or "non_null"
-    codes = [c for r in ruleset.rules for c in (r.left, *(i for _, i in r.items))]
-    items = Items(ds, component, codes, pos)
+    conditions = conditions or [None] * len(ruleset.rules)
+    items = Items(ds, component, ruleset.rules, conditions, pos)
     code_type = constant_type([r.code for r in ruleset.rules], STRING, "error codes", pos)
     level_type = constant_type([r.level for r in ruleset.rules], INTEGER, "error levels", pos)
     kind = SPARK_TYPES[items.type]
+    df, made = rolled(items, ruleset.rules, mode, "rule")[:2] if computed else (items.df, {})
     results = []
     for label, rule in zip(labels(ruleset), ruleset.rules, strict=True):
-        involved = [(items.present(c), items.value(c)) for c in dict.fromkeys([rule.left, *(i for _, i in rule.items)])]
-        left = filled(mode, items.present(rule.left), items.value(rule.left))
-        right = total(mode, [(s, items.present(c), items.value(c)) for s, c in rule.items])
+        have = {c: (items.present(c, rule), items.value(c, rule)) for c in involved(rule)}
+        for c in have.keys() & made.keys():
+            # a row of the dataset comes before a computed item, even where it fails the condition
+            own, use = have[c], made[c][0] & ~items.present(c)
+            have[c] = (own[0] | use, F.when(use, made[c][1].cast(kind)).otherwise(own[1]))
+        left = filled(mode, *have[rule.left])
+        right = total(mode, [(s, *have[c]) for s, c in rule.items])
         held = COMPARE[rule.op](left, right)
         results.append(
             F.struct(
-                emitted(mode, involved).alias("emit"), F.lit(rule.left).alias("code"), F.lit(label).alias("ruleid"), left.cast(kind).alias("value"), held.alias("bool_var"), (left - right).cast(kind).alias("imbalance"),
+                (items.holds(rule) & emitted(mode, list(have.values()))).alias("emit"), F.lit(rule.left).alias("code"), F.lit(label).alias("ruleid"), left.cast(kind).alias("value"), held.alias("bool_var"), (left - right).cast(kind).alias("imbalance"),
                 F.when(~held, typed(rule.code, code_type)).alias("errorcode"), F.when(~held, typed(rule.level, level_type)).alias("errorlevel"),
             )
         )
-    df = items.df.select(*[col(n) for n in items.others], F.explode(F.array(*results)).alias("__rule")).filter("__rule.emit")
+    df = df.select(*[col(n) for n in items.others], F.explode(F.array(*results)).alias("__rule")).filter("__rule.emit")
     shown = {"ruleid": "ruleid", component: "code", items.measure: "value", "bool_var": "bool_var", "imbalance": "imbalance", "errorcode": "errorcode", "errorlevel": "errorlevel"}
     made = [
         ds.structure[component], Component("ruleid", STRING, IDENTIFIER), Component(items.measure, items.type, MEASURE),
@@ -186,43 +209,61 @@ def check_hierarchy(ds: Dataset, ruleset, component: str, mode: str | None, outp
 
 
 def in_dependency_order(rules: list) -> list:
-    """Rules so that a computed item comes before those that add it up."""
-    made = {r.left: r for r in rules}
+    """Rules so that a computed item comes before those that add it up; rules of one item keep their order."""
+    made = {}
+    for r in rules:
+        made.setdefault(r.left, []).append(r)
     out, state = [], {}
 
-    def visit(r) -> None:
-        if state.get(r.left) == 2:
+    def visit(left: str) -> None:
+        if state.get(left) == 2:
             return
-        if state.get(r.left) == 1:
-            raise InvalidArgument(f"hierarchical rules depend on each other at {r.left}")
-        state[r.left] = 1
-        for _, c in r.items:
-            if c in made:
-                visit(made[c])
-        state[r.left] = 2
-        out.append(r)
+        if state.get(left) == 1:
+            raise InvalidArgument(f"hierarchical rules depend on each other at {left}")
+        state[left] = 1
+        for r in made[left]:
+            for _, c in r.items:
+                if c in made:
+                    visit(c)
+        state[left] = 2
+        out.extend(made[left])
 
     for r in rules:
-        visit(r)
+        visit(r.left)
     return out
 
 
-def hierarchy(ds: Dataset, ruleset, component: str, mode: str | None, source: str | None, output: str | None, pos=None) -> Dataset:
+def rolled(items: Items, rules: list, mode: str, source: str) -> tuple[DataFrame, dict[str, tuple[Column, Column]], list[Column]]:
+    """The groups with all computed items: (computed, value) of each, and rows to explode.  Of several rules for an item, the first that is evaluated in a group makes it."""
+    df, made, results = items.df, {}, []
+    for i, rule in enumerate(in_dependency_order([r for r in rules if r.op == "="])):
+        parts = []
+        for s, c in rule.items:
+            present, value = items.present(c, rule), items.value(c, rule)
+            if c in made and source != "dataset":
+                done, got = made[c]
+                use = done if source == "rule" else done & got.isNotNull()
+                present, value = done | present, F.when(use, got).otherwise(value)
+            parts.append((s, present, value))
+        first = ~made[rule.left][0] if rule.left in made else F.lit(True)
+        emit = items.holds(rule) & first & emitted(mode, [(p, v) for _, p, v in parts])
+        df = df.withColumns({f"__e{i}": emit, f"__c{i}": F.when(emit, total(mode, parts))})
+        done, got = F.col(f"__e{i}"), F.col(f"__c{i}")
+        results.append(F.struct(done.alias("emit"), F.lit(rule.left).alias("code"), got.cast(SPARK_TYPES[items.type]).alias("value")))
+        if rule.left in made:
+            done, got = done | made[rule.left][0], F.when(done, got).otherwise(made[rule.left][1])
+        made[rule.left] = (done, got)
+    return df, made, results
+
+
+def hierarchy(ds: Dataset, ruleset, component: str, mode: str | None, source: str | None, output: str | None, pos=None, conditions: list[Column | None] | None = None) -> Dataset:
     """Computed items of the equality rules; ``all`` puts them over the dataset's own rows."""
     mode, source = mode or "non_null", source or "rule"
-    rules = in_dependency_order([r for r in ruleset.rules if r.op == "="])
-    items = Items(ds, component, [c for r in rules for c in (r.left, *(i for _, i in r.items))], pos)
-    have = {c: (items.present(c), items.value(c)) for c in items.place}
-    df, results = items.df, []
-    for i, rule in enumerate(rules):
-        parts = [(s, *have[c]) for s, c in rule.items]
-        emit = emitted(mode, [(p, v) for _, p, v in parts])
-        df = df.withColumns({f"__e{i}": emit, f"__c{i}": F.when(emit, total(mode, parts))})
-        results.append(F.struct(F.col(f"__e{i}").alias("emit"), F.lit(rule.left).alias("code"), F.col(f"__c{i}").cast(SPARK_TYPES[items.type]).alias("value")))
-        if source != "dataset":
-            own = have[rule.left]
-            use = F.col(f"__e{i}") if source == "rule" else F.col(f"__e{i}") & F.col(f"__c{i}").isNotNull()
-            have[rule.left] = (F.col(f"__e{i}") | own[0], F.when(use, F.col(f"__c{i}")).otherwise(own[1]))
+    conditions = conditions or [None] * len(ruleset.rules)
+    pairs = [(r, x) for r, x in zip(ruleset.rules, conditions, strict=True) if r.op == "="]
+    rules = [r for r, _ in pairs]
+    items = Items(ds, component, rules, [x for _, x in pairs], pos)
+    df, _, results = rolled(items, rules, mode, source)
     df = df.select(*[col(n) for n in items.others], F.explode(F.array(*results)).alias("__rule")).filter("__rule.emit")
     structure = Structure([*(ds.structure[n] for n in ds.ids), ds.structure[items.measure]])
     code_kind = SPARK_TYPES[ds.structure[component].type]

@@ -337,27 +337,23 @@ class Evaluator:
         evaluate = lambda x, names: self.scalar(x, Scope(ds, names))
         return validation.check_datapoint(ds, rules, evaluate, node.options.get("components", ()), node.options.get("output"), node.pos)
 
-    def hierarchical(self, node: N.Call) -> tuple[Dataset, N.HierarchicalRuleset, str]:
+    def hierarchical(self, node: N.Call) -> tuple[Dataset, N.HierarchicalRuleset, str, list]:
+        """The dataset, the ruleset, the code component and each rule's condition over the dataset's rows."""
         ds, rules = self.dataset(node.args[0]), self.ruleset(node.args[1], N.HierarchicalRuleset)
         component = node.options.get("rule") or rules.component
-        for rule in rules.rules:
-            if rule.condition is not None:
-                names = dict((alias, name) for (name, alias) in rules.conditions)
-                ds = Dataset(ds.df.filter(F.coalesce(self.scalar(rule.condition, Scope(ds, names)).as_type(BOOLEAN), F.lit(False)) | ~col(component).cast("string").isin([rule.left, *(c for _, c in rule.items)])), ds.structure)
-        return ds, rules, component
+        names = dict((alias, name) for (name, alias) in rules.conditions)
+        conditions = [None if r.condition is None else self.scalar(r.condition, Scope(ds, names)).as_type(BOOLEAN) for r in rules.rules]
+        return ds, rules, component, conditions
 
     def _do_check_hierarchy(self, node: N.Call, scope):
-        ds, rules, component = self.hierarchical(node)
+        ds, rules, component, conditions = self.hierarchical(node)
         o = node.options
-        if o.get("input") == "dataset_priority":
-            computed = validation.hierarchy(ds, rules, component, o.get("mode"), "rule", None, node.pos)
-            ds = sets.union([ds.select([*ds.ids, *ds.measures]), computed], node.pos)
-        return validation.check_hierarchy(ds, rules, component, o.get("mode"), o.get("output"), node.pos)
+        return validation.check_hierarchy(ds, rules, component, o.get("mode"), o.get("output"), node.pos, conditions, o.get("input") == "dataset_priority")
 
     def _do_hierarchy(self, node: N.Call, scope):
-        ds, rules, component = self.hierarchical(node)
+        ds, rules, component, conditions = self.hierarchical(node)
         o = node.options
-        return validation.hierarchy(ds, rules, component, o.get("mode"), o.get("input"), o.get("output"), node.pos)
+        return validation.hierarchy(ds, rules, component, o.get("mode"), o.get("input"), o.get("output"), node.pos, conditions)
 
     def _do_eval(self, node: N.Call, scope):
         inner = node.args[0]

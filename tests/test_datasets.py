@@ -154,6 +154,22 @@ def test_hierarchy_subtracts(spark):
     assert rows(out["t"], "g", "code", "v") == [(1, "A", 5), (2, "A", 9)]
 
 
+def test_hierarchy_conditions_hold_for_their_rule_alone(spark):
+    s = Session(spark)
+    data = [(1990, "T", 9), (1990, "A", 5), (1990, "B", 1), (1990, "C", 7), (1990, "D", 2), (2010, "T", 9), (2010, "A", 5), (2010, "B", 4), (2010, "C", 8), (2010, "D", 2)]
+    s.bind("h", spark.createDataFrame(data, "year int, code string, v bigint"), ids=["year", "code"])
+    head = "define hierarchical ruleset {} (variable condition year as y rule code) is "
+    rules = head.format("r") + "when y > 2000 then T = A + B; C = A + D end hierarchical ruleset;"
+    rules += head.format("x") + "when y > 2000 then E = A + B; when y <= 2000 then E = A - B; F = E + D end hierarchical ruleset;"
+    rules += head.format("q") + "when y > 2000 then G = A + B; H = G + A; when y > 3000 then C = A end hierarchical ruleset;"
+    out = s.run(rules + "c := check_hierarchy(h, r rule code non_null all_measures); z := check_hierarchy(h, r rule code always_zero all_measures); t := hierarchy(h, r rule code non_null); e := hierarchy(h, x rule code non_null); p := check_hierarchy(h, q rule code dataset_priority all_measures);")
+    checked = [(1990, "C", True, 0), (2010, "C", False, 1), (2010, "T", True, 0)]
+    assert rows(out["c"], "year", "code", "bool_var", "imbalance") == rows(out["z"], "year", "code", "bool_var", "imbalance") == checked
+    assert rows(out["t"], "year", "code", "v") == [(1990, "C", 7), (2010, "C", 7), (2010, "T", 9)]
+    assert rows(out["e"], "year", "code", "v") == [(1990, "E", 4), (1990, "F", 6), (2010, "E", 9), (2010, "F", 11)]
+    assert rows(out["p"], "year", "code", "v", "bool_var") == [(2010, "G", 9, True), (2010, "H", 14, True)]
+
+
 def test_time_series(spark):
     s = Session(spark)
     days = [(dt.datetime(2020, 1, d), float(d)) for d in (1, 2, 4)]
