@@ -368,6 +368,24 @@ def test_html(spark):
     assert got == bag([(1, "A & b\nOne two three\nfour"), (2, "Only here"), (3, "Other text © &bad; 1 < 2"), (4, "Start here to read all the news of the whole wide town today"), (5, ""), (6, ""), (7, "m"), (7, "m")])
 
 
+def test_html_repeats_in_articles_and_nested_cards(spark):
+    rng = random.Random(8)
+    note = "<p>Sign up here for the daily letter of our whole town desk</p>"
+    own = [passage(rng, 60) for _ in range(5)]
+    pages = [(i, f"http://h.org/{i}", f"<article><p>{t}</p>{note}</article><p>Top {i}</p>") for i, t in enumerate(own[:3])]
+    pages += [(i, f"http://h.org/{i}", f"<nav>{i}</nav><article><p>{own[3]}</p>{note}</article>") for i in (10, 11)]
+    card = "<article><p>Read this other story</p></article>"
+    pages += [
+        (20, "http://k.org/1", f"<main><p>{own[4]}</p>{card}</main>"), (21, "http://l.org/1", f"<div>{own[4]}</div>{card}"),
+        (22, "http://m.org/1", f"<p>{own[4]}</p><aside>{card}</aside><div class='related'>{card}</div>"), (23, "http://n.org/1", f"<form><article>{own[4]}</article></form>"),
+    ]
+    got = {r.id: r.text for r in html_text.main_text(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    assert [got[i] for i in range(3)] == own[:3]
+    assert got[10] == got[11] == own[3]
+    assert got[20] == got[21] == own[4] + "\nRead this other story"
+    assert got[22] == got[23] == own[4]
+
+
 @pytest.mark.parametrize("run", [substring_dedup, suffix_dedup, minhash.near_classes, pii.find_pii, pii.redact, mixing.mix])
 def test_empty_tables(empty, run):
     assert run(empty).count() == 0
