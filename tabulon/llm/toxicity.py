@@ -5,6 +5,8 @@ Kernel: two words are compared by their common subsequences of three symbols
 length it spans, at most ``REACH`` + 1, so that inserted characters and gaps
 lower the similarity but do not void it.  Punctuation inside a token is
 skipped, and neighbouring one-letter tokens are read as one word ("i d i o t").
+Such runs, and words of more than ``LONGEST`` symbols, score as the best of
+their windows, at every place and of every length that a toxic landmark has.
 The normalised similarity is squared; values under ``FLOOR`` count as 0, and so
 does a word's whole row if it reaches ``FLOOR`` at no landmark that marks toxic texts.
 
@@ -55,7 +57,7 @@ CACHE = 1 << 21
 THRESHOLD = 0.7
 SYMBOLS = 32
 PAIRS = [(i, j) for j in range(2, REACH + 1) for i in range(1, j)]
-#: Longer words are compared by their first symbols.
+#: Longer words are compared by windows.
 LONGEST = 64
 
 #: Symbols: letters 0-25, digits 26, bytes of other letters 27-30, 31 leads every word; 255 is skipped, 254 ends a word.
@@ -68,8 +70,8 @@ FOLD[0x80:] = 27 + np.arange(128) % 4
 FOLD[list(K.SPACE_BYTES)] = SPACE
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Letters of all words in a row, start and end of each word in it, and the word offsets of each text."""
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Letters of all words in a row, start and end of each word in it, the word offsets of each text, and which words are runs of one-letter tokens."""
     folded = FOLD[data]
     keep = folded != SKIP
     symbol = folded[keep]
@@ -82,7 +84,18 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     glue[off[:-1][off[:-1] < len(s)]] = False
     first = np.flatnonzero(~glue)
     start = edge[:-1][first]
-    return symbol[FOLD_INSIDE[symbol]], start, np.append(start[1:], edge[-1]), np.searchsorted(first, off)
+    return symbol[FOLD_INSIDE[symbol]], start, np.append(start[1:], edge[-1]), np.searchsorted(first, off), np.diff(np.append(first, len(s))) > 1
+
+
+def windows(start: np.ndarray, end: np.ndarray, widths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, start, end) of all windows of the given widths over the words."""
+    parts = []
+    for w in widths:
+        n = np.maximum(end - start - w + 1, 0)
+        word = np.repeat(np.arange(len(start)), n)
+        s = start[word] + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        parts.append((word, s, s + w))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 FOLD_INSIDE = np.zeros(256, bool)
@@ -140,6 +153,8 @@ class Landmarks:
 
     def __init__(self, words: list[str], n_toxic: int):
         self.words = words
+        #: Widths of the windows over glued and long words: those of the toxic landmarks.
+        self.widths = sorted({min(len(w), LONGEST) for w in words[:n_toxic]})
         self.table = np.stack([profile(w) for w in words], 1)
         toxic = self.table[:, :n_toxic]
         self.n_toxic = n_toxic
@@ -197,7 +212,19 @@ class Model:
         self.known = np.zeros(0, np.uint64)
         self.margin = np.zeros(0, np.float32)
 
-    def word_margins(self, letters: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def word_margins(self, letters: np.ndarray, start: np.ndarray, end: np.ndarray, glued: np.ndarray | None = None) -> np.ndarray:
+        """Margins of the words; of glued and long ones the best of the word and its windows."""
+        out = self.plain_margins(letters, start, end)
+        wide = np.flatnonzero((end - start > LONGEST) | (glued if glued is not None else False))
+        for lo in range(0, len(wide), 200):
+            part = wide[lo : lo + 200]
+            word, s, e = windows(start[part], end[part], self.marks.widths)
+            if len(word):
+                h, first, which = np.unique(K.Rolling(K.byte_values(0)[letters]).slices(s, e), return_index=True, return_inverse=True)
+                np.maximum.at(out, part[word], self.plain_margins(letters, s[first], e[first])[which])
+        return out
+
+    def plain_margins(self, letters: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         out = np.full(len(start), self.bias)
         for lo in range(0, len(start), 20_000):
             part = slice(lo, lo + 20_000)
@@ -207,17 +234,19 @@ class Model:
 
     def text_margins(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The best word's margin of every text."""
-        letters, start, end, off = words_of(data, offsets)
+        letters, start, end, off, glued = words_of(data, offsets)
         best = np.full(len(offsets) - 1, self.bias)
         if not len(start):
             return best
-        h, first, which = np.unique(K.Rolling(K.byte_values(0)[letters]).slices(start, end), return_index=True, return_inverse=True)
+        # a glued run is scored in another way than a word of the same letters
+        h = K.Rolling(K.byte_values(0)[letters]).slices(start, end) ^ glued.astype(np.uint64)
+        h, first, which = np.unique(h, return_index=True, return_inverse=True)
         at = np.minimum(np.searchsorted(self.known, h), max(len(self.known) - 1, 0))
         old = self.known[at] == h if len(self.known) else np.zeros(len(h), bool)
         margin = np.empty(len(h), np.float32)
         margin[old] = self.margin[at[old]]
         fresh = np.flatnonzero(~old)
-        margin[fresh] = self.word_margins(letters, start[first[fresh]], end[first[fresh]])
+        margin[fresh] = self.word_margins(letters, start[first[fresh]], end[first[fresh]], glued[first[fresh]])
         if len(self.known) + len(fresh) > CACHE:
             self.known, self.margin = h, margin
         elif len(fresh):
@@ -292,7 +321,7 @@ def text_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     alphabet = np.frombuffer(SPELT, np.uint8)
     for batch in batches:
         for lo, hi, data, offsets in K.chunks(batch.column("text")):
-            letters, start, end, off = words_of(data, offsets)
+            letters, start, end, off, _ = words_of(data, offsets)
             spelt = alphabet[letters].tobytes().decode()
             ids, found = [], []
             for i in range(hi - lo):

@@ -312,6 +312,17 @@ def test_toxicity(spark, empty):
     assert {r.score for r in toxicity.score_toxicity(docs, labels.filter("toxic = 0")).collect()} == {0.0}
 
 
+def test_toxicity_in_long_and_glued_runs(spark):
+    rng = random.Random(4)
+    rows = [(i, passage(rng, 25).replace("w", "ve") + (" moronic" if i % 4 == 0 else "")) for i in range(240)]
+    far = "plain veords only " * 6
+    probes = {900: " ".join("youaremoronicreally"), 901: " ".join(far.replace(" ", "") + "moronic"), 902: far.replace(" ", "") + "moronic" + far.replace(" ", ""), 903: " ".join(far.replace(" ", "")), 904: far.replace(" ", "")}
+    docs = spark.createDataFrame(rows + list(probes.items()), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id bigint, toxic int")
+    got = {r.id: r.score for r in toxicity.score_toxicity(docs, labels).collect()}
+    assert min(got[900], got[901], got[902]) >= 0.7 and max(got[903], got[904]) < 0.7
+
+
 def test_subsequence_kernel():
     def slow(a, b):
         def weights(w):
