@@ -2,7 +2,12 @@
 
 Seeds: e-mail addresses, IPv4 addresses, payment cards and phone numbers by
 their formats.  Every token with a digit or an at-sign is a mention; its
-pattern is the word before it together with the token's shape.  Patterns and
+patterns are contexts, namely the word before it, and the words before and
+after it, and besides the word before it together with the token's shape.  A
+context alone leads to tokens of any shape, also of one that no seed has, but
+only if at least ``FIT`` of the tokens of that rough shape are where trusted
+patterns lead: what stands everywhere, such as a year, is no identifier
+for a trusted context.  Patterns and
 instances (token texts) form a bipartite graph that is scored in rounds: a
 pattern's confidence is the mean score of its distinct instances (smoothed), an
 instance's score is the best confidence among patterns that have enough
@@ -40,6 +45,8 @@ MENTION = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 ROUNDS = 3
 CONFIDENCE = 0.6
 SUPPORT = 3
+#: Least share of the distinct tokens of a rough shape that trusted patterns must reach.
+FIT = 0.5
 SPAN = "array<struct<kind:string,start:long,end:long,match:string>>"
 
 
@@ -105,6 +112,18 @@ def shape(token: Column) -> Column:
     return F.regexp_replace(token, r"\p{L}+", "a")
 
 
+def rough(token: Column) -> Column:
+    """The shape with runs of digits told apart by their length: up to 3, 4, up to 7, up to 12, or more."""
+    for least, sign in ((13, "#13"), (8, "#8"), (5, "#5"), (4, "#4"), (1, "#1")):
+        token = F.regexp_replace(token, f"(?<![0-9#])[0-9]{{{least},}}", sign)
+    return F.regexp_replace(token, r"\p{L}+", "a")
+
+
+def after(text: Column, end: Column) -> Column:
+    """The word that starts next after a place, in the 40 characters there."""
+    return F.lower(F.regexp_extract(F.substring(text, end.cast("int") + 1, F.lit(40)), r"^\s*(\S+)", 1))
+
+
 def before(text: Column, start: Column) -> Column:
     """The word that ends next before a place, in the 40 characters there."""
     tail = F.substring(text, F.greatest(start - 40, F.lit(0)).cast("int") + 1, F.least(start, F.lit(40)).cast("int"))
@@ -124,7 +143,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = (
     base = [F.filter(located(F.col(f"{k}_gaps"), F.col(f"{k}_found"), k), checked(k)) for k in KINDS]
     seen = F.transform(
         located(F.col("mention_gaps"), F.col("mention_found"), "mention"),
-        lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("token"), before(F.col("text"), s["start"]).alias("before")),
+        lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("token"), before(F.col("text"), s["start"]).alias("before"), after(F.col("text"), s["end"]).alias("after")),
     )
     return rows.select(
         "id", F.xxhash64(F.lit("one"), "id", "text").alias("k1"), F.xxhash64(F.lit("two"), "id", "text").alias("k2"),
@@ -136,11 +155,16 @@ def discover(scanned: DataFrame, rounds: int = ROUNDS, confidence: float = CONFI
     """(k1, k2, extra): spans of instances that trusted patterns lead to."""
     seen = scanned.select("k1", "k2", "base", F.explode("mentions").alias("m")).select(
         "k1", "k2", F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.col("m.token").alias("token"),
-        F.concat_ws(" ", "m.before", shape(F.col("m.token"))).alias("pattern"), (F.col("m.before") != "").alias("led"),
+        rough(F.col("m.token")).alias("rough"), (F.col("m.before") != "").alias("led"),
+        F.array(
+            F.concat_ws(" ", F.lit("shape"), "m.before", shape(F.col("m.token"))), F.concat_ws(" ", F.lit("before"), "m.before"), F.concat_ws(" ", F.lit("around"), "m.before", "m.after"),
+        ).alias("patterns"),
         F.exists("base", lambda b: (b["start"] < F.col("m.end")) & (b["end"] > F.col("m.start"))).alias("seed"),
     )
     seen = materialise(seen, "mentions")
-    graph = materialise(seen.filter("led").groupBy("pattern", "token").agg(F.max("seed").alias("seed")), "graph")
+    pairs = seen.filter("led").select(F.explode("patterns").alias("pattern"), "token", "rough", "seed")
+    graph = materialise(pairs.groupBy("pattern", "token", "rough").agg(F.max("seed").alias("seed")), "graph")
+    shapes = materialise(graph.select("token", "rough").distinct().groupBy("rough").agg(F.count(F.lit(1)).alias("n")), "shapes")
     scored = graph.withColumn("score", F.col("seed").cast("double"))
     for _ in range(rounds):
         trusted = (
@@ -149,14 +173,17 @@ def discover(scanned: DataFrame, rounds: int = ROUNDS, confidence: float = CONFI
             .filter((F.col("n") >= support) & (F.col("conf") >= confidence))
             .select("pattern", "conf")
         )
-        best = graph.join(trusted, "pattern").groupBy("token").agg(F.max("conf").alias("conf"))
+        reached = graph.join(trusted, "pattern").groupBy("token", "rough").agg(F.max("conf").alias("any"), F.max(F.when(F.col("pattern").startswith("shape "), F.col("conf"))).alias("shaped"))
+        reached = materialise(reached, "reached")
+        fit = reached.groupBy("rough").agg(F.count(F.lit(1)).alias("k")).join(shapes, "rough").filter(F.col("k") >= F.col("n") * FIT).select("rough", F.lit(True).alias("fits"))
+        best = reached.join(fit, "rough", "left").select("token", F.when(F.col("fits"), F.col("any")).otherwise(F.col("shaped")).alias("conf"))
         scored = materialise(
-            graph.join(best, "token", "left").select("pattern", "token", "seed", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("conf", F.lit(0.0))).alias("score")),
+            graph.join(best, "token", "left").select("pattern", "token", "rough", "seed", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("conf", F.lit(0.0))).alias("score")),
             "scored",
         )
-    good = scored.filter((F.col("score") >= confidence) & ~F.col("seed")).select("pattern", "token").distinct()
+    good = scored.filter((F.col("score") >= confidence) & ~F.col("seed")).select("token").distinct()
     return (
-        seen.filter("led and not seed").join(good, ["pattern", "token"])
+        seen.filter("led and not seed").join(good, "token")
         .groupBy("k1", "k2")
         .agg(F.sort_array(F.collect_set(F.struct(F.lit(EXTRA).alias("kind"), "start", "end"))).alias("extra"))
     )

@@ -240,6 +240,16 @@ def test_pii_patterns_discover_and_redact(spark):
     assert clean[0] == "write to me at [EMAIL] today" and clean[11] == "room 12 is free" and clean[12] is None
 
 
+def test_pii_contexts_reach_unseen_forms(spark):
+    rows = [(i, f"write to me at user{i}@mail.org today") for i in range(6)] + [(10, "write to me at user77[at]mail today"), (11, "be here at 12 today")]
+    rows += [(20 + i, f"room {n} is free") for i, n in enumerate((12, 13, 14, 250))] + [(30, "the year 2001")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.id: [tuple(x) for x in r.extra] for r in pii.find_pii(docs).collect()}
+    assert got.pop(10) == [("extra", 15, 29)] and not any(got.values())
+    clean = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert clean[10] == "write to me at [EXTRA] today" and clean[11] == "be here at 12 today"
+
+
 def test_language(spark, empty):
     rng = random.Random(2)
     sounds = {"aa": ["ba", "ka", "lo"], "bb": ["zi", "xu", "qé"]}
