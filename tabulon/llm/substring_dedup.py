@@ -1,12 +1,8 @@
-"""Substring dedup by relative Lempel-Ziv parsing against an index of the whole corpus.
-
-Reference: every text of the corpus, indexed in hash blocks (one per shuffle
-partition).  A text is factored greedily: at each word the index yields an
-earlier place that the next ``window`` words also start at, and the factor runs
-on while places continue.  Factors of ``window`` words or more are duplicate
-spans.  Greedy cuts could hide a long match that straddles two factors, so the
-windows around every factor boundary are looked up again (the split ranges of
-``repeats``); this makes the result exact.
+"""Substring dedup by anchored window hashing over the whole corpus.
+
+This stands in for relative Lempel-Ziv parsing: no text is factored.  Windows
+of ``window`` words are found through anchors and compared by hash (see
+``repeats``), which reports the words of every repeated window exactly.
 
 Defined results: a null or blank text has no words and nothing removed; a text
 shorter than the window is kept; of repeated rows with one id and one text none

@@ -1,17 +1,8 @@
-"""Byte-level dedup by prefix-free parsing.
-
-Rolling-hash triggers (the least gram hash of a window) cut every text into
-overlapping phrases; a phrase spans all windows that share its trigger.  The
-dictionary holds each distinct phrase once with its first place and count; the
-parse is each text's list of phrases.  Windows are compared in the order
-dictionary first, then parse: a phrase that occurs twice settles all its
-windows at once, and only distinct phrases that share a trigger are cut into
-sub-phrases and compared again.
-
-Only equality of ``window`` bytes matters here, so phrases are ordered by
-128-bit hash instead of by letters: a suffix order by hash has the same groups
-of equal prefixes, and it needs no suffix sort of the (mostly unique)
-dictionary.
+"""Byte-level dedup by anchored window hashing over the whole corpus.
+
+This stands in for prefix-free parsing: there is no parse, no suffix array and
+no order, as only equality of ``window`` bytes matters.  It is the engine of
+``substring_dedup`` with bytes for words (see ``repeats``).
 
 Defined results: a null text is empty; a text shorter than the window is kept;
 every place of a repeat goes, the first one too; repeated rows repeat each
