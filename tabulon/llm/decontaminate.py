@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .repeats import runs
+from .phrases import runs
 from .storage import materialise
 
 WINDOW = 10

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from weakref import WeakKeyDictionary
@@ -13,10 +14,12 @@ STORED: WeakKeyDictionary[DataFrame, tuple[str, str | None]] = WeakKeyDictionary
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names, or a folder of its own where none is set (tests)."""
+    """The shared folder that the session names; a temporary one only where driver and executors are one process."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="tabulon-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -37,7 +40,11 @@ def materialise(df: DataFrame, name: str = "t") -> DataFrame:
 
 
 def discard(*stored: DataFrame) -> None:
-    """Delete stored results that no later plan reads: whatever was made from them must itself be stored."""
+    """Delete stored results that no later plan reads: whatever was made from them must itself be stored.
+
+    The shuffle files of finished plans go as well, as soon as the driver has
+    collected its garbage.
+    """
     for df in stored:
         path, ident = STORED.pop(df)
         spark = df.sparkSession
@@ -45,6 +52,14 @@ def discard(*stored: DataFrame) -> None:
             spark.sql(f"DROP TABLE IF EXISTS {ident}")
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+    if stored:
+        collect_garbage(stored[0].sparkSession)
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Free what finished plans hold: plans and broadcasts in the driver, shuffle files on executors."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def bucketed(df: DataFrame, key: str, name: str = "store") -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabulon.llm import ann, decontaminate, html_text, kernels, language, minhash, mixing, pii, repeats, toxicity
+from tabulon.llm import ann, decontaminate, html_text, kernels, language, minhash, mixing, phrases, pii, repeats, toxicity
 from tabulon.llm.components import components
 from tabulon.llm.substring_dedup import substring_dedup
 from tabulon.llm.suffix_dedup import suffix_dedup
@@ -90,6 +90,25 @@ def test_suffix_dedup(docs, width):
     assert bag(got) == bag(want)
 
 
+def test_phrases_of_a_long_text_in_pieces(monkeypatch):
+    # every window belongs to one phrase, whole or in pieces, and equal windows have one head
+    rng = random.Random(6)
+    raw = " ".join(rng.choice(VOCAB[:9]) for _ in range(900)).encode()
+    data, offsets = np.frombuffer(raw, np.uint8), np.array([0, len(raw)])
+    for cut, units in ((phrases.Cut.of("word", 20, 5, 16), raw.split()), (phrases.Cut.of("byte", 60, 8, 40), raw)):
+        heads = collections.defaultdict(set)
+        for piece in (1 << 21, 130):
+            monkeypatch.setattr(phrases, "PIECE", piece)
+            parts = [(s + base, h) for vals, off, base in phrases.pieces(cut, data, offsets) for _, s, h, _ in [phrases.phrases(cut, vals, off)]]
+            s, h = (np.concatenate(x) for x in zip(*parts))
+            assert s[0] == 0 and (np.diff(s) > 0).all()
+            owner = np.searchsorted(s, np.arange(len(units) - cut.width + 1), "right") - 1
+            for i, o in enumerate(owner):
+                w = units[i : i + cut.width]
+                heads[w if cut.unit == "byte" else tuple(w)].add(int(h[o]))
+        assert all(len(x) == 1 for x in heads.values())
+
+
 def test_decontaminate_both_ways(spark, docs, texts):
     items = [(1, " ".join(texts[25].split()[10:40])), (2, texts[4].upper()), (3, "A"), (4, ""), (5, None), (6, "w1 w2"), (7, texts[30]), (7, texts[30])]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
@@ -427,7 +446,7 @@ def test_kernels():
     assert [data[a:b].tobytes() for a, b in zip(s, e)] == [b"Ab", b"cd", b"ab", b"cd", b"ab"] and off.tolist() == [0, 2, 5]
     h = kernels.word_hashes(data, s, e)
     assert h[1] == h[3] and h[2] == h[4] and h[0] != h[2]
-    assert repeats.runs(np.array([True, True, False, True]))[0].tolist() == [0, 3]
+    assert phrases.runs(np.array([True, True, False, True]))[0].tolist() == [0, 3]
     x = np.array([5, 3, 9, 3, 8, 1, 7], np.uint64) * np.uint64(2) + np.uint64(1)
     for w in range(1, 8):
         want = sorted({i for j in range(len(x) - w + 1) for i in range(j, j + w) if x[i] == x[j : j + w].min()})
