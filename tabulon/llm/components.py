@@ -32,15 +32,12 @@ def _settled(e: DataFrame) -> bool:
     return ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up")).filter("down > 1 or down = 1 and up = 1").isEmpty()
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(u, v) long edges to (node, root): root is the least node of the component; lone nodes are not listed."""
-    e = materialise(edges.select("u", "v").filter("u <> v").distinct(), "edges")
-    for _ in range(most_rounds):
+    e = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    e = materialise(e.distinct(), "edges")
+    while not _settled(e):
         old, e = e, materialise(_small(_large(e)), "edges")
         discard(old)
-        if _settled(e):
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return stars.union(stars.select("root", "root")).distinct()

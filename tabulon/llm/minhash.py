@@ -8,18 +8,25 @@ of a coordinate is its signature there.  Coordinates left empty get more darts
 (t doubles).  Two sets agree on a coordinate with probability equal to their
 weighted Jaccard similarity.
 
-Signatures are cut into bands.  Texts that share a band are compared with the
-band's leader by exact similarity of their shingle sets, which costs one
-comparison a member whatever the size of the bucket; equal texts are one
-member.  Members similar to one leader are one class.
-
-What leaders cannot settle is joined exactly: the texts of every bucket that
-still holds several classes go through a prefix filter (similar sets share one
-of their rarest elements, early enough in both to leave room for the overlap; common
-passages are never among them), and only texts of different classes are
-compared.  Verified links become classes by connected components.  So no link between
-classes is lost that shares a band, and a large class is not paired with
-itself.
+Texts are read once: signatures, cut into bands, and the sorted elements of
+each text are stored, and no later step moves a text.
+
+1. *Leaders.*  The least text of a bucket leads it; each member is compared with
+   its leader by exact similarity, which costs one comparison a member whatever
+   the size of the bucket.  Links become classes by connected components.
+2. *The rest.*  The texts of every bucket that still holds several classes are
+   joined exactly, by filters that lose no similar pair: similar sets share one
+   of their rarest elements, early enough in both to leave room for the overlap
+   (a pair meets at the first such element); sets whose distances to a common
+   leader differ by more than 1 - ``threshold`` are no pair, as the distance is
+   a metric.  Only texts of different classes meet.
+
+So no link between classes is lost that shares a band, and a large class is not
+paired with itself.  What grows with the square of a group is only the number of
+pairs of different classes just below the threshold that no filter tells apart.
+
+Texts are named by a 64-bit hash; two different texts of one hash would count
+as equal.
 
 Defined results: null or wordless texts are classes of their own; a text of
 fewer than ``shingle`` words is one shingle; equal texts always share a class,
@@ -34,11 +41,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from . import kernels as K
 from .components import components
-from .repeats import text_classes
 from .storage import discard, materialise
 
 SHINGLE = 5
@@ -48,6 +53,10 @@ ROWS = 5
 U64 = np.uint64
 #: Darts thrown at once by an element.
 VOLLEY = 4
+#: Elements of a prefix that are looked through for an earlier meeting of a pair.
+EARLIER = 48
+#: Leaders of a text that serve as its pivots.
+PIVOTS = 8
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,59 +124,67 @@ def signatures(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n_sets: int,
         limit = np.where(todo, t / np.maximum(total, 1), 0.0)
         owner, rank, ident = darts(doc[mine], cell[mine], limit)
         slot = owner * coords + (ident % U64(coords)).astype(np.int64)
-        order = np.lexsort((rank, slot))
-        slot, ident = slot[order], ident[order]
-        first = np.ones(len(slot), bool)
-        first[1:] = slot[1:] != slot[:-1]
-        flat = sig.reshape(-1)
-        flat[slot[first]] = ident[first] | U64(1)
+        earliest = np.full(sig.size, np.inf)
+        np.minimum.at(earliest, slot, rank)
+        first = rank == earliest[slot]
+        sig.reshape(-1)[slot[first]] = ident[first] | U64(1)
         todo &= (sig == 0).any(axis=1)
         t *= 2
     return sig, has
 
 
-def bands(shingle: int, weighting: str, n_bands: int, rows: int):
-    """(cid, k1, text) to (band, key, cid, k1)."""
+def sketches(shingle: int, weighting: str, n_bands: int, rows: int):
+    """(id, k, text) to (id, k, worded, keys, els, wts).
+
+    Band keys, sorted 32-bit shingle hashes and counts as bytes; all empty but
+    in a task's first row of each text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for batch in batches:
-            cid = batch.column("cid").to_numpy(zero_copy_only=False)
-            k1 = batch.column("k1").to_numpy(zero_copy_only=False)
+            k = batch.column("k").to_numpy(zero_copy_only=False)
             for lo, hi, data, offsets in K.chunks(batch.column("text"), 1 << 19):
-                doc, h, weight = elements(*shingles(data, offsets, shingle), weighting)
-                sig, has = signatures(doc, h, weight, hi - lo, n_bands * rows)
-                rows_of = np.flatnonzero(has)
-                if not len(rows_of):
-                    continue
-                cut = sig[rows_of].reshape(len(rows_of), n_bands, rows)
-                key = np.zeros((len(rows_of), n_bands), U64)
+                new = np.zeros(hi - lo, bool)
+                for i, x in enumerate(k[lo:hi].tolist()):
+                    if x not in met:
+                        met.add(x)
+                        new[i] = True
+                h, off = shingles(data, offsets, shingle)
+                worded = np.diff(off) > 0
+                size = np.where(new, np.diff(off), 0)
+                h, off = h[np.repeat(new, np.diff(off))], np.concatenate(([0], np.cumsum(size)))
+                doc, el, weight = elements(h, off, weighting)
+                sig, has = signatures(doc, el, weight, hi - lo, n_bands * rows)
+                cut = sig[has].reshape(-1, n_bands, rows)
+                key = np.broadcast_to(np.arange(1, n_bands + 1, dtype=U64), cut.shape[:2]).copy()
                 for r in range(rows):
                     key = K.mix64(key + cut[:, :, r])
-                band = np.tile(np.arange(n_bands, dtype=np.int32), len(rows_of))
+                small = (el >> U64(32)).astype("<u4")
+                first = np.ones(len(small), bool)
+                first[1:] = (small[1:] != small[:-1]) | (doc[1:] != doc[:-1])
+                if weighting == "count":
+                    weight = np.add.reduceat(weight, np.flatnonzero(first)) if len(weight) else weight
+                doc, small = doc[first], small[first]
+                edge = np.searchsorted(doc, np.arange(hi - lo + 1))
+                raw = pa.py_buffer(small.tobytes())
+                wts = pa.py_buffer(weight.astype("<u4").tobytes()) if weighting == "count" else pa.py_buffer(b"")
+                at = pa.py_buffer((edge * 4).astype(np.int32).tobytes())
+                none = pa.py_buffer(np.zeros(hi - lo + 1, np.int32).tobytes())
+                key_edge = np.concatenate(([0], np.cumsum(np.where(has, n_bands, 0)))).astype(np.int32)
+                part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(band), pa.array(K.signed(key.ravel())), pa.array(np.repeat(cid[lo:hi][rows_of], n_bands)), pa.array(np.repeat(k1[lo:hi][rows_of], n_bands))],
-                    ["band", "key", "cid", "k1"],
+                    [
+                        part.column("id"), part.column("k"), pa.array(worded), pa.ListArray.from_arrays(pa.array(key_edge), pa.array(K.signed(key.ravel()))),
+                        pa.Array.from_buffers(pa.binary(), hi - lo, [None, at, raw]), pa.Array.from_buffers(pa.binary(), hi - lo, [None, at if weighting == "count" else none, wts]),
+                    ],
+                    ["id", "k", "worded", "keys", "els", "wts"],
                 )
 
     return run
 
 
-def set_rows(shingle: int, weighting: str):
-    """(cid, text) to (cid, els, wts): sorted 32-bit shingle hashes and counts as bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, offsets in K.chunks(batch.column("text")):
-                h, off = shingles(data, offsets, shingle)
-                doc, el, weight = elements((h >> U64(32)).astype(U64), off, weighting)
-                cut = np.searchsorted(doc, np.arange(hi - lo + 1))
-                el = el.astype("<u4")
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("cid").slice(lo, hi - lo), pa.array([el[cut[i] : cut[i + 1]].tobytes() for i in range(hi - lo)], pa.binary()), pa.array([weight[cut[i] : cut[i + 1]].astype("<u4").tobytes() if weighting == "count" else b"" for i in range(hi - lo)], pa.binary())],
-                    ["cid", "els", "wts"],
-                )
-
-    return run
+SKETCH = "id long, k long, worded boolean, keys array<long>, els binary, wts binary"
 
 
 def jaccard(a: bytes, wa: bytes, b: bytes, wb: bytes) -> float:
@@ -184,103 +201,99 @@ def jaccard(a: bytes, wa: bytes, b: bytes, wb: bytes) -> float:
     return shared / (len(x) + len(y) - shared)
 
 
-def compare(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols = [batch.column(c) for c in ("els", "wts", "lead_els", "lead_wts")]
-            close = [jaccard(*(c[i].as_py() for c in cols)) >= threshold for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("lead"), pa.array(close)], ["cid", "lead", "close"])
+def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(..., els, wts, lead_els, lead_wts) to (..., sim)."""
+    for batch in batches:
+        cols = [batch.column(c) for c in ("els", "wts", "lead_els", "lead_wts")]
+        sim = [jaccard(*(c[i].as_py() for c in cols)) for i in range(batch.num_rows)]
+        kept = [c for c in batch.schema.names if c not in ("els", "wts", "lead_els", "lead_wts")]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sim, pa.float64())], [*kept, "sim"])
 
-    return run
+
+def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (k, lead, ...) with their exact similarity."""
+    other = sets.select(F.col("k").alias("lead"), F.col("els").alias("lead_els"), F.col("wts").alias("lead_wts"))
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema.fields)
+    joined = pairs.join(sets, "k").join(other, "lead").select(*pairs.columns, "els", "wts", "lead_els", "lead_wts")
+    return materialise(joined.mapInArrow(compared, f"{shape}, sim double"), "similar")
 
 
 def element_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cid, root, els, wts) to (cid, root, el): one row an element; the copies of a weighted element are elements of their own."""
+    """(k, els, wts) to (k, size, el): one row an element; the copies of a weighted element are elements of their own."""
     for batch in batches:
-        cids, roots, els, wts = (batch.column(c) for c in ("cid", "root", "els", "wts"))
-        for i in range(batch.num_rows):
-            el, w = np.frombuffer(els[i].as_py(), "<u4").astype(U64), np.frombuffer(wts[i].as_py(), "<u4")
+        ks = batch.column("k").to_numpy(zero_copy_only=False)
+        out, sizes = [], []
+        for els, wts in zip(batch.column("els"), batch.column("wts"), strict=True):
+            el, w = np.frombuffer(els.as_py(), "<u4").astype(U64), np.frombuffer(wts.as_py(), "<u4")
             if len(w):
                 copy = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
                 el = K.mix64(np.repeat(el, w) + (copy.astype(U64) << U64(32)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(el), cids[i].as_py())), pa.array(np.full(len(el), roots[i].as_py())), pa.array(K.signed(el))], ["cid", "root", "el"])
+            out.append(el)
+            sizes.append(len(el))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(ks, sizes)), pa.array(np.repeat(sizes, sizes).astype(np.int32)), pa.array(K.signed(np.concatenate(out)))], ["k", "size", "el"]
+        )
 
 
 def with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """``rows`` with the class of each cid; a text without links is its own class."""
-    return rows.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-
-
-def across(members: DataFrame, *key: str) -> DataFrame:
-    """Pairs of members of one group and different classes: all but the largest class of a group against the whole group."""
-    sizes = members.groupBy(*key, "root").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy(*key).agg(F.max(F.struct("n", "root")).alias("most"), F.count(F.lit(1)).alias("roots"))
-    main = materialise(main.filter("roots > 1").select(*key, F.col("most.root").alias("main")), "mixed")
-    mixed = members.join(main, list(key))
-    minor = mixed.filter("root <> main").select(*key, F.col("cid").alias("lead"), *[F.col(c).alias(f"lead_{c}") for c in members.columns if c not in (*key, "cid")])
-    # a pair of two minor members is met twice: the one with the lesser cid on the left is kept
-    return mixed.join(minor, list(key)).filter((F.col("root") != F.col("lead_root")) & ((F.col("root") == F.col("main")) | (F.col("cid") < F.col("lead"))))
-
-
-def candidates(buckets: DataFrame, roots: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(cid, lead) of every pair of classes' texts in buckets of several classes that passes the prefix filter."""
-    placed = with_roots(buckets, roots)
-    mixed = placed.groupBy("band", "key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("band", "key")
-    open_texts = with_roots(buckets.join(mixed, ["band", "key"], "left_semi").select("cid").distinct(), roots)
-    rows = materialise(sets.join(open_texts, "cid").select("cid", "root", "els", "wts").mapInArrow(element_rows, "cid long, root long, el long"), "elements")
-    sizes = rows.groupBy("cid").agg(F.count(F.lit(1)).alias("size"))
-    held = materialise(rows.groupBy("el").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"), "held")
-    own = W.partitionBy("cid")
+    """``rows`` with the class of each k; a text without links is its own class."""
+    return rows.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+
+
+def mixed(rows: DataFrame, key: str) -> DataFrame:
+    """The keys that rows of several classes share."""
+    return rows.groupBy(key).agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select(key)
+
+
+def candidates(buckets: DataFrame, roots: DataFrame, sets: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """(k, lead, root, lead_root): pairs of texts of different classes that share a bucket's text and pass all filters."""
+    placed = materialise(with_roots(buckets.select("key", "k"), roots), "placed")
+    open_texts = placed.join(mixed(placed, "key"), "key", "left_semi").select("k", "root").distinct()
+    pivots = known.groupBy("k").agg(F.slice(F.sort_array(F.collect_list(F.struct("lead", "sim"))), 1, PIVOTS).alias("pivots"))
+    open_texts = materialise(open_texts.join(pivots, "k", "left").withColumn("pivots", F.coalesce("pivots", F.array().cast("array<struct<lead:bigint,sim:double>>"))), "open")
+    rows = materialise(sets.join(open_texts.select("k"), "k").select("k", "els", "wts").mapInArrow(element_rows, "k long, size int, el long"), "elements")
+    held = rows.groupBy("el").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
     # rarest first; the elements of no other text come before all of these
-    ranked = rows.join(held, "el").withColumns({"nth": F.row_number().over(own.orderBy("held", "el")), "shared": F.count(F.lit(1)).over(own)})
-    ranked = ranked.join(sizes, "cid").withColumn("nth", F.col("nth") + F.col("size") - F.col("shared"))
-    prefix = ranked.filter(F.col("nth") <= F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - 1e-6) + 1)
-    prefix = materialise(prefix.select("el", "cid", "root", "size", "nth"), "prefix")
-    # elements held by the same texts give the same pairs: one group with the earliest place in each text
-    alike = prefix.groupBy("el").agg(F.count(F.lit(1)).alias("held"), *[F.bit_xor(F.xxhash64(F.lit(i), "cid")).alias(f"g{i}") for i in range(2)]).filter("held > 1")
-    grouped = prefix.join(alike, "el").groupBy("g0", "g1", "held", "cid").agg(F.first("root").alias("root"), F.first("size").alias("size"), F.min("nth").alias("nth"))
-    grouped = materialise(grouped, "groups")
+    ranked = rows.join(materialise(held, "held"), "el").groupBy("k", "size").agg(F.array_sort(F.collect_list(F.struct("held", "el"))).alias("els"))
+    alone = F.col("size") - F.size("els")
+    wide = F.greatest(F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - 1e-6) + 1 - alone, F.lit(0)).cast("int")
+    ranked = ranked.withColumns({"alone": alone, "els": F.slice(F.col("els.el"), F.lit(1), wide)})
+    ranked = ranked.select("k", "size", "alone", F.slice("els", 1, EARLIER).alias("early"), F.posexplode("els").alias("at", "el"))
+    prefix = ranked.select("el", "k", "size", (F.col("alone") + F.col("at") + 1).alias("nth"), F.slice("early", F.lit(1), F.least("at", F.lit(EARLIER))).alias("early"))
+    prefix = materialise(prefix.join(open_texts, "k"), "prefix")
+    prefix = prefix.join(mixed(prefix, "el"), "el", "left_semi")
+    lead = prefix.select("el", *[F.col(c).alias("lead" if c == "k" else f"lead_{c}") for c in prefix.columns if c != "el"])
     # two sets of enough overlap have their first common element early in both
     overlap = F.ceil((F.col("size") + F.col("lead_size")) * (threshold / (1 + threshold)) - 1e-6)
-    met = across(grouped, "g0", "g1", "held").filter((F.col("size") - F.col("nth") + 1 >= overlap) & (F.col("lead_size") - F.col("lead_nth") + 1 >= overlap))
-    out = materialise(met.select(F.least("cid", "lead").alias("cid"), F.greatest("cid", "lead").alias("lead")).distinct(), "rest")
-    discard(rows, held, prefix, grouped)
+    room = (F.col("size") - F.col("nth") + 1 >= overlap) & (F.col("lead_size") - F.col("lead_nth") + 1 >= overlap)
+    apart = F.exists("pivots", lambda x: F.exists("lead_pivots", lambda y: (x["lead"] == y["lead"]) & (F.abs(x["sim"] - y["sim"]) > 1 - threshold + 1e-9)))
+    met = prefix.join(lead, "el").filter((F.col("k") < F.col("lead")) & (F.col("root") != F.col("lead_root")) & room & ~F.arrays_overlap("early", "lead_early") & ~apart)
+    out = materialise(met.select("k", "lead", "root", "lead_root").distinct(), "rest")
+    discard(placed, open_texts, rows)
     return out
 
 
-def checked_pairs(once: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(cid, lead, close) of pairs, by exact similarity."""
-    other = sets.select(F.col("cid").alias("lead"), F.col("els").alias("lead_els"), F.col("wts").alias("lead_wts"))
-    return materialise(once.join(sets, "cid").join(other, "lead").mapInArrow(compare(threshold), "cid long, lead long, close boolean"), "checked")
-
-
-def classes_of_links(classes: DataFrame, shingle: int, threshold: float, weighting: str, n_bands: int, rows: int) -> DataFrame:
-    """(node, root) of the texts that have a link, by class number."""
-    keyed = classes.select("cid", "k1", "text").mapInArrow(bands(shingle, weighting, n_bands, rows), "band int, key long, cid long, k1 long")
-    keyed = materialise(keyed, "bands")
-    shared = materialise(keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "key"), "shared")
-    buckets = materialise(keyed.join(shared, ["band", "key"]), "buckets")
-    discard(keyed, shared)
-    wanted = buckets.select(F.col("cid").alias("wanted"), "k1").distinct()
-    sets = materialise(
-        # on k1 alone, as the texts are bucketed, so that the join moves no text
-        classes.select("k1", "cid", "text").join(wanted, "k1").filter("cid = wanted").select("cid", "text").mapInArrow(set_rows(shingle, weighting), "cid long, els binary, wts binary"),
-        "sets",
-    )
+def classes_of_links(sketched: DataFrame, threshold: float) -> DataFrame:
+    """(node, root) of the texts that have a link."""
+    keyed = sketched.select("k", F.explode("keys").alias("key"))
     # one order of leaders in all bands, so that few pairs differ
-    order = F.struct(F.xxhash64("cid").alias("o"), F.col("cid").alias("lead"))
-    leaders = buckets.groupBy("band", "key").agg(F.min(order).alias("f")).select("band", "key", F.col("f.lead").alias("lead"))
-    known = checked_pairs(buckets.join(materialise(leaders, "leaders"), ["band", "key"]).filter("cid <> lead").select("cid", "lead").distinct(), sets, threshold)
-    close = known.filter("close").select("cid", "lead")
-    # texts similar to one leader are one class; a leader stands in its own
-    ends = close.union(close.select("lead", "lead").distinct())
-    roots = materialise(ends.groupBy(F.col("cid").alias("node")).agg(F.min(F.struct(F.xxhash64("lead").alias("o"), "lead")).alias("f")).select("node", F.col("f.lead").alias("root")), "roots")
-    rest = candidates(buckets, roots, sets, threshold)
-    pair = [F.least("cid", "lead").alias("cid"), F.greatest("cid", "lead").alias("lead")]
-    more = checked_pairs(rest.join(known.filter("not close").select(*pair), ["cid", "lead"], "left_anti"), sets, threshold)
-    discard(buckets, roots, sets, rest)
-    out = materialise(components(close.union(more.filter("close").select("cid", "lead")).toDF("u", "v")), "roots")
-    discard(known, more)
+    leaders = keyed.groupBy("key").agg(F.min("k").alias("lead"), F.max("k").alias("last")).filter("lead < last").select("key", "lead")
+    buckets = materialise(keyed.join(materialise(leaders, "leaders"), "key").select("key", "k", "lead"), "buckets")
+    wanted = buckets.select("k").distinct()
+    held = sketched.filter(F.length("els") > 0).select("k", "els", "wts").join(wanted, "k", "left_semi")
+    # a text has a row in every task that met it
+    sets = materialise(held.groupBy("k").agg(F.max(F.struct("els", "wts")).alias("x")).select("k", "x.els", "x.wts"), "sets")
+    known = similarities(buckets.filter("k <> lead").select("k", "lead").distinct(), sets)
+    roots = materialise(components(known.filter(F.col("sim") >= threshold).select(F.col("k").alias("u"), F.col("lead").alias("v"))), "roots")
+    rest = candidates(buckets, roots, sets, known, threshold)
+    more = similarities(rest, sets)
+    discard(buckets, sets, known, rest)
+    joined = components(more.filter(F.col("sim") >= threshold).select(F.col("root").alias("u"), F.col("lead_root").alias("v")))
+    joined = materialise(joined.select(F.col("node").alias("of"), F.col("root").alias("top")), "joined")
+    # a text without links before may have one now
+    both = roots.join(joined, roots.root == joined.of, "left").select("node", F.coalesce("top", "root").alias("root"))
+    out = materialise(both.union(joined.join(roots, joined.of == roots.node, "left_anti").select("of", "top")), "classes")
+    discard(roots, more, joined)
     return out
 
 
@@ -294,15 +307,15 @@ def near_classes(
     n_bands: int = BANDS,
     rows: int = ROWS,
 ) -> DataFrame:
-    """One row per input row: id, k1, k2 (text key), class_id (least id of the class), class_k (text key of its first text)."""
-    counts, classes = text_classes(docs, id_col, text_col)
-    roots = classes_of_links(classes, shingle, threshold, weighting, n_bands, rows)
-    info = classes.select("cid", "k1", "k2", "first_id", F.col("text").rlike(r"[^\x20\x09-\x0D]").alias("worded"))
-    info = materialise(info.join(roots, info.cid == roots.node, "left").select("cid", "k1", "k2", "first_id", "worded", F.coalesce("root", "cid").alias("root")), "roots")
-    discard(classes, roots)
-    least = info.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("nil"), "first_id", "k1", "k2")).alias("f"))
-    named = info.join(least, "root").select("k1", "k2", "worded", F.col("f.first_id").alias("least_id"), F.col("f.k1").alias("class_k1"), F.col("f.k2").alias("class_k2"))
-    return (
-        counts.join(named, ["k1", "k2"])
-        .select("id", "k1", "k2", F.when(F.col("worded"), F.col("least_id")).otherwise(F.col("id")).alias("class_id"), "worded", "class_k1", "class_k2", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"))
-    )
+    """One row per input row: id, k (text key), class_id (least id of the class), class_k (text key of its first text), worded."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("k"), text.alias("text"))
+    sketched = materialise(texts.mapInArrow(sketches(shingle, weighting, n_bands, rows), SKETCH), "sketches")
+    links = classes_of_links(sketched, threshold)
+    slim = materialise(sketched.select("id", "k", "worded"), "rows")
+    discard(sketched)
+    nodes = slim.groupBy("k").agg(F.min(F.struct(F.col("id").isNull().alias("nil"), "id")).alias("f"))
+    nodes = materialise(with_roots(nodes, links).select("k", "root", "f"), "nodes")
+    least = nodes.groupBy("root").agg(F.min(F.struct("f", "k")).alias("x")).select("root", F.col("x.f.id").alias("least_id"), F.col("x.k").alias("class_k"))
+    named = nodes.join(least, "root").select("k", "least_id", "class_k")
+    return slim.join(named, "k").select("id", "k", F.when(F.col("worded"), F.col("least_id")).otherwise(F.col("id")).alias("class_id"), "class_k", "worded")

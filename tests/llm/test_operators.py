@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabulon.llm import ann, decontaminate, html_text, kernels, language, minhash, mixing, phrases, pii, repeats, toxicity
+from tabulon.llm import ann, decontaminate, html_text, kernels, language, minhash, mixing, phrases, pii, toxicity
 from tabulon.llm.components import components
 from tabulon.llm.substring_dedup import substring_dedup
 from tabulon.llm.suffix_dedup import suffix_dedup
