@@ -30,16 +30,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class stays: the one with the least id."""
     classes = near_classes(docs)
-    # the keys of the class's first text, and its least id, name the document that stays
-    keep = classes.filter(F.col("id").eqNullSafe(F.col("class_id")) & ((F.col("k1") == F.col("class_k1")) & (F.col("k2") == F.col("class_k2")) | ~F.col("worded")))
-    names = ("__nil", "__id", "__k1", "__k2")
+    # the key of the class's first text, and its least id, name the document that stays
+    keep = classes.filter(F.col("id").eqNullSafe(F.col("class_id")) & ((F.col("k") == F.col("class_k")) | ~F.col("worded")))
+    names = ("__nil", "__id", "__k")
 
-    def keys(ident, k1, k2) -> dict:
-        return dict(zip(names, (ident.isNull(), F.coalesce(ident, F.lit(0).cast("long")), k1, k2), strict=True))
+    def keys(ident, k) -> dict:
+        return dict(zip(names, (ident.isNull(), F.coalesce(ident, F.lit(0).cast("long")), k), strict=True))
 
-    keep = keep.select(*[c.alias(n) for n, c in keys(F.col("id"), F.col("k1"), F.col("k2")).items()])
+    keep = keep.select(*[c.alias(n) for n, c in keys(F.col("id"), F.col("k")).items()])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumns(keys(F.col("doc_id").cast("long"), F.xxhash64(text), F.xxhash64(F.lit("second"), text)))
+    keyed = docs.withColumns(keys(F.col("doc_id").cast("long"), F.xxhash64(text)))
     # repeated rows share all keys, so one exchange serves the join and their removal
     return keyed.join(keep, list(names), "left_semi").dropDuplicates(list(names)).select(*docs.columns)
 
