@@ -4,18 +4,23 @@ Seeds: e-mail addresses, IPv4 addresses, payment cards and phone numbers by
 their formats.  Every token with a digit or an at-sign is a mention; its
 patterns are contexts, namely the word before it, and the words before and
 after it, and besides the word before it together with the token's shape.  A
-context alone leads to tokens of any shape, also of one that no seed has, but
-only if at least ``FIT`` of the tokens of that rough shape are where trusted
-patterns lead: what stands everywhere, such as a year, is no identifier
-for a trusted context.  Patterns and
-instances (token texts) form a bipartite graph that is scored in rounds: a
-pattern's confidence is the mean score of its distinct instances (smoothed), an
-instance's score is the best confidence among patterns that have enough
-support.  Instances that end above ``confidence`` without being seeds are
-discovered identifiers, reported with kind ``extra``; seeds always stay.
-
-Scores are per-key counts and sums (map-side combined); texts are read once
-and only mentions move.
+long token with several digits has its form as one more pattern, whatever stands
+around it: where most such tokens of a corpus are seeds, others of that form
+(keys, numbers that fail their checksum) are identifiers too.  A context alone
+leads to tokens of any shape, also of one that no seed has, but only if at least
+``FIT`` of the tokens of that rough shape are where trusted patterns lead: what
+stands everywhere, such as a year, is no identifier for a trusted context.
+
+Patterns and instances (token texts) form a bipartite graph that is scored in
+rounds until no further pattern is trusted: a pattern's confidence is the mean
+score of its distinct instances (smoothed), an instance's score is the best
+confidence among patterns that have enough support.  Instances that end above
+``confidence`` without being seeds are discovered identifiers, reported with
+kind ``extra``; seeds always stay.
+
+Scores are per-key counts and sums (map-side combined); texts are read once,
+each format searches a text once, and only mentions move.  Work on a text is
+near linear in its length and its matches: places are running sums in blocks.
 
 Spans are code points, end exclusive.  Defined results: null texts are empty;
 texts without digits or at-signs have no spans; repeated rows each get their
@@ -24,10 +29,12 @@ row with the same spans; no rows in, no rows out.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .storage import discard, materialise
 
 #: Fixed formats, as linear-time patterns: a match may start only where a run
 #: of its characters starts (or where the last match ended), and never gives back.
@@ -42,40 +49,74 @@ NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 KINDS = tuple(FORMATS)
 EXTRA = "extra"
 MENTION = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
-ROUNDS = 3
 CONFIDENCE = 0.6
 SUPPORT = 3
 #: Least share of the distinct tokens of a rough shape that trusted patterns must reach.
 FIT = 0.5
-SPAN = "array<struct<kind:string,start:long,end:long,match:string>>"
-
-
-def searched(text: Column, pattern: str, need: str | None = None) -> tuple[Column, Column]:
-    """(lengths of the gaps around the matches, matches); no search where a needed character is missing."""
-    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-    if need:
-        has = F.contains(text, F.lit(need))
-        found = F.when(has, found).otherwise(F.array().cast("array<string>"))
-        gaps = F.when(has, gaps).otherwise(F.array().cast("array<int>"))
-    return gaps, found
-
-
-def located(gaps: Column, found: Column, kind: str) -> Column:
-    """All matches as (kind, start, end, match): lengths of gaps and matches alternate."""
-    step = F.aggregate(
-        F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("g"), found.alias("m")),
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["g"] + F.length(x["m"])).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(F.struct(F.lit(kind).alias("kind"), (acc["at"] + x["g"]).cast("long").alias("start"), (acc["at"] + x["g"] + F.length(x["m"])).cast("long").alias("end"), x["m"].alias("match"))),
-            ).alias("out"),
+#: A token of so many characters and digits has its form as a pattern.
+LONG, DIGITS = 12, 3
+SPAN = "array<struct<kind:string,start:long,end:long>>"
+#: Stands around matches while a text is cut; a text that holds it gets another control character of no format.
+MARK, OTHER = "\x01", "\x03"
+#: Entries of a list that are summed at once, and characters that are cut at once.
+BLOCK, CHARS = 256, 4096
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often and deep ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(entries: Column, zero: int, op: Callable[[Column, Column], Column]) -> Column:
+    """Running results of an associative op over an array of longs, block by block: an array grows by copying."""
+    return let(entries, lambda x: running_of(x, zero, op))
+
+
+def running_of(entries: Column, zero: int, op: Callable[[Column, Column], Column]) -> Column:
+    none = F.array().cast("array<long>")
+    first = F.lit(zero).cast("long")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(entries) - 1) / BLOCK).cast("int")), lambda b: F.slice(entries, b * BLOCK + 1, F.lit(BLOCK)))
+    inner = F.transform(
+        blocks,
+        lambda block: F.aggregate(
+            block, F.struct(first.alias("at"), none.alias("out")),
+            lambda acc, x: F.struct(op(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(op(acc["at"], x))).alias("out")),
         ),
-        lambda acc: acc["out"],
     )
-    return F.when(F.size(found) > 0, step).otherwise(F.array().cast(SPAN))
+
+    def joined(inner: Column) -> Column:
+        before = F.aggregate(
+            inner, F.struct(first.alias("at"), none.alias("out")),
+            lambda acc, x: F.struct(op(acc["at"], x["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+            lambda acc: acc["out"],
+        )
+        return F.flatten(F.zip_with(inner, before, lambda x, b: F.transform(x["out"], lambda v: op(b, v))))
+
+    whole = let(inner, joined)
+    return F.when(F.size(entries) > 0, whole).otherwise(none)
+
+
+def parts_of(text: Column, pattern: str, present: Column) -> Column:
+    """The text in parts, gaps and matches in turn, by one search; nothing where a needed character is missing."""
+    marked = F.regexp_replace(text, F.lit(f"({pattern})"), F.lit(f"{MARK}$1{MARK}"))
+    return F.when(present, F.split(marked, MARK, -1)).otherwise(F.array().cast("array<string>"))
+
+
+def ends_of(parts: Column) -> Column:
+    """Where each part ends."""
+    return running(F.transform(parts, lambda p: F.length(p).cast("long")), 0, lambda a, b: a + b)
+
+
+def every_match(parts: Column) -> Column:
+    """The places of matches among the parts."""
+    return F.when(F.size(parts) > 2, F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2))).otherwise(F.array().cast("array<int>"))
+
+
+def spans_of(kind: str) -> Column:
+    """The valid matches of a kind as (kind, start, end), from its parts and their ends."""
+    parts, ends = F.col(f"{kind}_parts"), F.col(f"{kind}_ends")
+    good = F.filter(every_match(parts), lambda i: valid(kind, F.get(parts, i)))
+    return F.transform(good, lambda i: F.struct(F.lit(kind).alias("kind"), F.get(ends, i - 1).alias("start"), F.get(ends, i).alias("end")))
 
 
 def digits(match: Column) -> Column:
@@ -103,10 +144,6 @@ def valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def checked(kind: str):
-    return lambda s: valid(kind, s["match"])
-
-
 def shape(token: Column) -> Column:
     token = F.regexp_replace(token, "[0-9]+", "9")
     return F.regexp_replace(token, r"\p{L}+", "a")
@@ -119,61 +156,87 @@ def rough(token: Column) -> Column:
     return F.regexp_replace(token, r"\p{L}+", "a")
 
 
-def after(text: Column, end: Column) -> Column:
-    """The word that starts next after a place, in the 40 characters there."""
-    return F.lower(F.regexp_extract(F.substring(text, end.cast("int") + 1, F.lit(40)), r"^\s*(\S+)", 1))
+def form(token: Column) -> Column:
+    """The pattern of a long token with several digits, null of others."""
+    return F.when((F.length(token) >= LONG) & (F.length(digits(token)) >= DIGITS), F.lit("form long"))
 
 
-def before(text: Column, start: Column) -> Column:
-    """The word that ends next before a place, in the 40 characters there."""
-    tail = F.substring(text, F.greatest(start - 40, F.lit(0)).cast("int") + 1, F.least(start, F.lit(40)).cast("int"))
-    return F.lower(F.regexp_extract(tail, r"(\S+)\s*$", 1))
+def seeded(mentions: Column, base: Column) -> Column:
+    """Whether each mention overlaps a base span, by one sweep over both."""
+    ends = F.transform(mentions, lambda m: F.struct(m["end"].alias("at"), F.lit(0).alias("kind"), m["start"].alias("start"), F.lit(-1).cast("long").alias("upto")))
+    starts = F.transform(base, lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("kind"), F.lit(-1).cast("long").alias("start"), b["end"].alias("upto")))
+    events = F.array_sort(F.concat(ends, starts))
+    furthest = running(F.transform(events, lambda x: x["upto"]), -1, lambda a, b: F.greatest(a, b))
+    met = F.filter(F.arrays_zip(events.alias("e"), furthest.alias("f")), lambda z: z["e"]["kind"] == 0)
+    return F.transform(met, lambda z: z["f"] > z["e"]["start"])
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(id, k1, k2, base, mentions) of every text; with ``carry`` also the text and the columns as a struct."""
+    """(id, k1, k2, base, mentions) of every text; with ``carry`` also the text and those columns as a struct."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    kept = [F.struct(*[F.col(c) for c in carry]).alias("carried")] if carry else []
+    kept = [F.struct(*[F.col(c) for c in carry]).alias("carried"), F.col(text_col).isNull().alias("missing")] if carry else []
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), *kept)
-    # searches become columns of their own, so that each runs once a text
-    searches = {kind: searched(F.col("text"), FORMATS[kind], NEEDS[kind]) for kind in KINDS}
-    searches["mention"] = searched(F.col("text"), MENTION)
-    for kind, (gaps, found) in searches.items():
-        rows = rows.withColumns({f"{kind}_gaps": gaps, f"{kind}_found": found})
-    base = [F.filter(located(F.col(f"{k}_gaps"), F.col(f"{k}_found"), k), checked(k)) for k in KINDS]
+    clean = F.when(F.contains("text", F.lit(MARK)), F.translate("text", MARK, OTHER)).otherwise(F.col("text"))
+    rows = rows.withColumns({"clean": clean, "digit": F.col("text").rlike("[0-9]")})
+    needs = {kind: F.contains("text", F.lit(NEEDS[kind])) if NEEDS[kind] else F.col("digit") for kind in KINDS}
+    patterns = FORMATS | {"mention": MENTION}
+    needs["mention"] = F.col("digit") | F.contains("text", F.lit("@"))
+    # searches and sums become columns of their own, so that each runs once a text
+    rows = rows.withColumns({f"{kind}_parts": parts_of(F.col("clean"), p, needs[kind]) for kind, p in patterns.items()})
+    rows = rows.withColumns({f"{kind}_ends": ends_of(F.col(f"{kind}_parts")) for kind in patterns})
+    parts, ends = F.col("mention_parts"), F.col("mention_ends")
+    blank = lambda gap: F.trim(F.translate(gap, "\t\n\x0b\x0c\r", "     ")) == ""
+    # between two mentions with only white space, each is the other's neighbour
+    before = lambda i: F.when(blank(F.get(parts, i - 1)) & (i > 1), F.get(parts, i - 2)).otherwise(F.regexp_extract(F.get(parts, i - 1), r"(?<!\S)(\S++)\s*+$", 1))
+    after = lambda i: F.when(blank(F.get(parts, i + 1)) & (i + 2 < F.size(parts)), F.get(parts, i + 2)).otherwise(F.regexp_extract(F.get(parts, i + 1), r"^\s*+(\S++)", 1))
     seen = F.transform(
-        located(F.col("mention_gaps"), F.col("mention_found"), "mention"),
-        lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("token"), before(F.col("text"), s["start"]).alias("before"), after(F.col("text"), s["end"]).alias("after")),
+        every_match(parts),
+        lambda i: F.struct(F.get(ends, i - 1).alias("start"), F.get(ends, i).alias("end"), F.get(parts, i).alias("token"), F.lower(before(i)).alias("before"), F.lower(after(i)).alias("after")),
     )
+    rows = rows.withColumns({"base": F.concat(*[spans_of(k) for k in KINDS]), "mentions": seen})
     return rows.select(
         "id", F.xxhash64(F.lit("one"), "id", "text").alias("k1"), F.xxhash64(F.lit("two"), "id", "text").alias("k2"),
-        F.concat(*base).alias("base"), seen.alias("mentions"), *(["text", "carried"] if carry else []),
+        "base", "mentions", *(["text", "missing", "carried"] if carry else []),
     )
 
 
-def discover(scanned: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
-    """(k1, k2, extra): spans of instances that trusted patterns lead to."""
-    seen = scanned.select("k1", "k2", "base", F.explode("mentions").alias("m")).select(
-        "k1", "k2", F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.col("m.token").alias("token"),
-        rough(F.col("m.token")).alias("rough"), (F.col("m.before") != "").alias("led"),
+def patterns_of(mention: Column) -> Column:
+    """Contexts and forms that a mention stands for."""
+    token, led = mention["token"], mention["before"] != ""
+    return F.array_compact(
         F.array(
-            F.concat_ws(" ", F.lit("shape"), "m.before", shape(F.col("m.token"))), F.concat_ws(" ", F.lit("before"), "m.before"), F.concat_ws(" ", F.lit("around"), "m.before", "m.after"),
-        ).alias("patterns"),
-        F.exists("base", lambda b: (b["start"] < F.col("m.end")) & (b["end"] > F.col("m.start"))).alias("seed"),
+            F.when(led, F.concat_ws(" ", F.lit("shape"), mention["before"], shape(token))), F.when(led, F.concat_ws(" ", F.lit("before"), mention["before"])),
+            F.when(led, F.concat_ws(" ", F.lit("around"), mention["before"], mention["after"])), form(token),
+        )
+    )
+
+
+def discover(scanned: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
+    """(k1, k2, extra): spans of instances that trusted patterns lead to."""
+    zipped = F.arrays_zip(F.col("mentions").alias("m"), seeded(F.col("mentions"), F.col("base")).alias("seed"))
+    seen = scanned.filter("size(mentions) > 0").select("k1", "k2", F.explode(zipped).alias("x")).select(
+        "k1", "k2", "x.seed", F.col("x.m.start").alias("start"), F.col("x.m.end").alias("end"), F.col("x.m.token").alias("token"),
+        rough(F.col("x.m.token")).alias("rough"), patterns_of(F.col("x.m")).alias("patterns"),
     )
     seen = materialise(seen, "mentions")
-    pairs = seen.filter("led").select(F.explode("patterns").alias("pattern"), "token", "rough", "seed")
+    pairs = seen.select(F.explode("patterns").alias("pattern"), "token", "rough", "seed")
     graph = materialise(pairs.groupBy("pattern", "token", "rough").agg(F.max("seed").alias("seed")), "graph")
-    shapes = materialise(graph.select("token", "rough").distinct().groupBy("rough").agg(F.count(F.lit(1)).alias("n")), "shapes")
-    scored = graph.withColumn("score", F.col("seed").cast("double"))
-    for _ in range(rounds):
+    shapes = materialise(graph.groupBy("rough", "token").agg(F.lit(1).alias("one")).groupBy("rough").agg(F.sum("one").alias("n")), "shapes")
+    scored, old, before, reached = graph.withColumn("score", F.col("seed").cast("double")), None, -1, None
+    while True:
         trusted = (
             scored.groupBy("pattern")
             .agg((F.sum("score") / (F.count(F.lit(1)) + 1)).alias("conf"), F.count(F.when(F.col("score") >= confidence, 1)).alias("n"))
             .filter((F.col("n") >= support) & (F.col("conf") >= confidence))
             .select("pattern", "conf")
         )
-        reached = graph.join(trusted, "pattern").groupBy("token", "rough").agg(F.max("conf").alias("any"), F.max(F.when(F.col("pattern").startswith("shape "), F.col("conf"))).alias("shaped"))
+        trusted = materialise(trusted, "trusted")
+        n = trusted.count()
+        if n == before:
+            break
+        before = n
+        safe = F.col("pattern").startswith("shape ") | F.col("pattern").startswith("form ")
+        reached = graph.join(trusted, "pattern").groupBy("token", "rough").agg(F.max("conf").alias("any"), F.max(F.when(safe, F.col("conf"))).alias("shaped"))
         reached = materialise(reached, "reached")
         fit = reached.groupBy("rough").agg(F.count(F.lit(1)).alias("k")).join(shapes, "rough").filter(F.col("k") >= F.col("n") * FIT).select("rough", F.lit(True).alias("fits"))
         best = reached.join(fit, "rough", "left").select("token", F.when(F.col("fits"), F.col("any")).otherwise(F.col("shaped")).alias("conf"))
@@ -181,66 +244,65 @@ def discover(scanned: DataFrame, rounds: int = ROUNDS, confidence: float = CONFI
             graph.join(best, "token", "left").select("pattern", "token", "rough", "seed", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("conf", F.lit(0.0))).alias("score")),
             "scored",
         )
+        discard(*(x for x in (old, reached, trusted) if x is not None))
+        old = scored
     good = scored.filter((F.col("score") >= confidence) & ~F.col("seed")).select("token").distinct()
-    return (
-        seen.filter("led and not seed").join(good, "token")
-        .groupBy("k1", "k2")
-        .agg(F.sort_array(F.collect_set(F.struct(F.lit(EXTRA).alias("kind"), "start", "end"))).alias("extra"))
-    )
+    found = seen.filter("not seed").join(good, "token").groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct(F.lit(EXTRA).alias("kind"), "start", "end"))).alias("extra"))
+    found = materialise(found, "extra")
+    discard(*(x for x in (seen, graph, shapes, trusted, old) if x is not None))
+    return found
+
+
+def with_extra(scanned: DataFrame, extra: DataFrame) -> DataFrame:
+    """``scanned`` with the discovered spans; texts without mentions do not move."""
+    none = F.array().cast(SPAN)
+    some = scanned.filter("size(mentions) > 0").join(extra, ["k1", "k2"], "left").withColumn("extra", F.coalesce("extra", none))
+    return some.unionByName(scanned.filter("size(mentions) = 0").withColumn("extra", none))
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per input row: id, base and extra spans (kind, start, end), by kind as listed and then start."""
     scanned = materialise(scan(docs, id_col, text_col), "pii")
-    extra = discover(scanned, **options)
-    none = F.array().cast("array<struct<kind:string,start:long,end:long>>")
-    return scanned.join(extra, ["k1", "k2"], "left").select(
-        "id", F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("base"), F.coalesce("extra", none).alias("extra")
-    )
+    return with_extra(scanned, discover(scanned, **options)).select("id", "base", "extra")
 
 
-def merged(spans: Column) -> Column:
-    """Sorted, disjoint (start, end, kind) that cover the given spans; the first kind names a merged one."""
-    kind = "array<struct<start:long,end:long,kind:string>>"
-    ordered = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    return F.aggregate(
-        ordered, F.array().cast(kind),
-        lambda acc, s: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] > s["start"]),
-            F.concat(
-                F.slice(acc, F.lit(1), F.size(acc) - 1),
-                F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"), F.element_at(acc, -1)["kind"].alias("kind"))),
-            ),
-        ).otherwise(F.concat(acc, F.array(s))),
-    )
+def merged(rows: DataFrame) -> DataFrame:
+    """Rows with sorted ``spans`` to the same with ``from`` and ``to``: firsts and ends of the disjoint spans that cover them."""
+    rows = rows.withColumn("upto", running(F.transform("spans", lambda s: s["end"]), -1, lambda a, b: F.greatest(a, b)))
+    rows = rows.withColumn("new", F.transform("spans", lambda s, i: (i == 0) | (s["start"] >= F.get("upto", i - 1))))
+    starts = F.transform(F.filter(F.arrays_zip(F.col("spans").alias("s"), F.col("new").alias("new")), lambda z: z["new"]), lambda z: z["s"])
+    ends = F.filter(F.transform("upto", lambda e, i: F.when((i == F.size("upto") - 1) | F.get("new", i + 1), e)), lambda e: e.isNotNull())
+    return rows.withColumns({"from": starts, "to": ends}).drop("upto", "new")
 
 
-def redacted(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in brackets."""
-    done = F.aggregate(
-        merged(spans),
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda acc, s: F.struct(
-            s["end"].alias("at"),
-            F.concat(acc["out"], F.array(F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))).alias("out"),
-        ),
-        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))),
-    )
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+def piece(blocks: Column, start: Column, end: Column) -> Column:
+    """The characters from start to end of a text in blocks."""
+    first, last = F.floor(start / CHARS).cast("int"), F.floor(end / CHARS).cast("int")
+    block = lambda i: F.coalesce(F.get(blocks, i), F.lit(""))
+    inside = lambda x: F.pmod(x, F.lit(CHARS)).cast("int")
+    many = F.concat(F.substring(block(first), inside(start) + 1, F.lit(CHARS)), F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), ""), F.substring(block(last), F.lit(1), inside(end)))
+    return F.when(first == last, F.substring(block(first), inside(start) + 1, (end - start).cast("int"))).otherwise(many)
+
+
+def redacted(rows: DataFrame) -> DataFrame:
+    """(text, spans, ...) with each span of the text replaced by its kind in brackets."""
+    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    rows = merged(rows.withColumn("spans", ordered))
+    rows = rows.withColumns({"blocks": F.when(F.size("spans") > 0, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHARS}}}"), F.lit(0)))})
+    gone = F.transform("from", lambda s, i: F.concat(piece(F.col("blocks"), F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get("to", i - 1)), s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]")))
+    rest = piece(F.col("blocks"), F.element_at("to", -1), F.length("text").cast("long"))
+    return rows.withColumn("text", F.when(F.size("spans") > 0, F.concat(F.array_join(gone, ""), rest)).otherwise(F.col("text"))).drop("from", "to", "blocks")
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The input with personal data replaced in the text; other columns unchanged, null texts stay null."""
     columns = tuple(docs.columns)
-    scanned = materialise(scan(docs, id_col, text_col, columns), "pii")
-    extra = discover(scanned.drop("text", "carried"), **options)
-    none = F.array().cast("array<struct<kind:string,start:long,end:long>>")
-    plain = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    joined = scanned.join(extra, ["k1", "k2"], "left").withColumn("spans", F.concat(plain, F.coalesce("extra", none)))
-    clean = F.when(F.col("carried")[text_col].isNull(), F.lit(None).cast("string")).otherwise(redacted(F.col("text"), F.col("spans")))
-    return joined.select(*[clean.alias(c) if c == text_col else F.col("carried")[c].alias(c) for c in columns])
-
-
+    others = tuple(c for c in columns if c != text_col) or (text_col,)
+    scanned = materialise(scan(docs, id_col, text_col, others), "pii")
+    extra = discover(scanned.drop("text", "carried", "missing"), **options)
+    rows = with_extra(scanned, extra).select("carried", "missing", "text", F.concat("base", "extra").alias("spans"))
+    clean = redacted(rows).withColumn("text", F.when(~F.col("missing"), F.col("text")))
+    return clean.select(*[F.col("text").alias(c) if c == text_col else F.col("carried")[c].alias(c) for c in columns])
 
 
 def spans_text(spans: Column) -> Column:

@@ -43,6 +43,8 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[pii.count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.KINDS],
         F.sha2(pii.spans_text(F.col("base")), 256).alias("base_sha256"),
         pii.spans_text(F.concat("base", "extra")).alias("spans"),
+        F.size("extra").cast("long").alias("n_extra"),
+        (F.size("base") + F.size("extra")).cast("long").alias("n_spans"),
     )
 
 

@@ -269,6 +269,78 @@ def test_pii_contexts_reach_unseen_forms(spark):
     assert clean[10] == "write to me at [EXTRA] today" and clean[11] == "be here at 12 today"
 
 
+def discovered_by_brute_force(rows, confidence=pii.CONFIDENCE):
+    """Extra spans by the definition: graph of patterns and tokens, scored until the trusted patterns stay."""
+
+    def shapes(token):
+        out, i = "", 0
+        for m in re.finditer(r"[0-9]+|[^0-9]+", token):
+            n = len(m.group())
+            out += "#" + str(next(x for x in (13, 8, 5, 4, 1) if n >= x)) if m.group()[0].isdigit() else m.group()
+        return re.sub(r"[^\W\d_]+", "a", re.sub("[0-9]+", "9", token)), re.sub(r"[^\W\d_]+", "a", out)
+
+    mentions, graph, seeds = [], collections.defaultdict(set), set()
+    for i, text in rows:
+        base, words = plain_spans(text or ""), [(m.group(), m.start(), m.end()) for m in re.finditer(r"\S+", text or "")]
+        for j, (w, s, e) in enumerate(words):
+            if re.search("[0-9@]", w):
+                before, after = words[j - 1][0].lower() if j else "", words[j + 1][0].lower() if j + 1 < len(words) else ""
+                seed = any(b < e and x > s for _, b, x in base)
+                mentions.append((i, w, s, e, seed))
+                names = [f"shape {before} {shapes(w)[0]}", f"before {before}", f"around {before} {after}"] if before else []
+                for p in names + (["form long"] if len(w) >= pii.LONG and len(re.findall("[0-9]", w)) >= pii.DIGITS else []):
+                    graph[p].add(w)
+                    if seed:
+                        seeds.add((p, w))
+    score = {(p, w): float((p, w) in seeds) for p in graph for w in graph[p]}
+    known = None
+    while True:
+        conf = {p: sum(score[p, w] for w in ws) / (len(ws) + 1) for p, ws in graph.items()}
+        trusted = {p for p, ws in graph.items() if conf[p] >= confidence and sum(score[p, w] >= confidence for w in ws) >= pii.SUPPORT}
+        if len(trusted) == known:
+            break
+        known = len(trusted)
+        tokens = {w for ws in graph.values() for w in ws}
+        reached = {w: [p for p in trusted if w in graph[p]] for w in tokens}
+        total, met = collections.Counter(shapes(w)[1] for w in tokens), collections.Counter(shapes(w)[1] for w in tokens if reached[w])
+        best = {w: max([conf[p] for p in ps if p.split(" ")[0] in ("shape", "form") or met[shapes(w)[1]] >= pii.FIT * total[shapes(w)[1]]], default=0.0) for w, ps in reached.items()}
+        score = {(p, w): 1.0 if (p, w) in seeds else best[w] for p, w in score}
+    good = {w for (p, w), x in score.items() if x >= confidence and (p, w) not in seeds}
+    return {(i, s, e) for i, w, s, e, seed in mentions if w in good and not seed}
+
+
+def test_pii_graph_is_the_defined_one(spark):
+    rng = random.Random(11)
+    made = {"mail": lambda i: f"u{i}@m.org", "ip": lambda i: f"10.0.{i % 250}.7", "key": lambda i: f"k{rng.randrange(10**15):015d}f", "id": lambda i: f"ID-{i}", "year": lambda i: str(1900 + i % 90)}
+    rows = []
+    for i in range(160):
+        kind = rng.choice(["mail"] * 5 + ["ip", "ip", "key", "id", "year"])
+        lead = rng.choice(["from", "at", "in", "Contact"]) if kind in ("mail", "id", "ip") else rng.choice(["in", "of", "since"])
+        rows.append((i, f"{' '.join(rng.choice(['so', 'be', 'it']) for _ in range(3))} {lead}  {made[kind](i)} {rng.choice(['today', 'ok', made['year'](i)])}\n"))
+    rows += [(500, None), (501, ""), (502, "\x01 at u1@m.org\x01"), (503, "at ID-5 in 1950 1951")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r.id, x.start, x.end) for r in pii.find_pii(docs).collect() for x in r.extra}
+    assert got and got == discovered_by_brute_force(rows)
+
+
+def test_pii_redacts_many_mentions_in_one_text(spark):
+    rng = random.Random(12)
+    bits = ["u1@m.org", "é word", "10.0.0.1", "+1 (222) 333-4444", "4111 1111 1111 1111", "x" * 900, "4111111111111111@a.bc"]
+    texts = [" ".join(rng.choice(bits) for _ in range(n)) for n in (3, 40, 9000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in pii.redact(docs, support=10**6).collect()}
+    for i, t in enumerate(texts):
+        out, at, spans = "", 0, []
+        for s, e, k in sorted((s, e, k) for k, s, e in plain_spans(t)):
+            if spans and s < spans[-1][1]:
+                spans[-1][1] = max(e, spans[-1][1])
+            else:
+                spans.append([s, e, k])
+        for s, e, k in spans:
+            out, at = out + t[at:s] + f"[{k.upper()}]", e
+        assert got[i] == out + t[at:]
+
+
 def test_language(spark, empty):
     rng = random.Random(2)
     sounds = {"aa": ["ba", "ka", "lo"], "bb": ["zi", "xu", "qé"]}
