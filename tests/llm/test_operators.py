@@ -498,6 +498,29 @@ def test_html_repeats_in_articles_and_nested_cards(spark):
     assert got[22] == got[23] == own[4]
 
 
+def test_html_broken_pages_take_linear_time():
+    import time
+
+    for make in (lambda n: "<a " * n, lambda n: "<b>" * n + "</i>" * n, lambda n: "<b>" * n + "<p></p>" * n, lambda n: '<a b="' * n + ">", lambda n: "<!-- c -->" * n, lambda n: "<p>" * n + "x" + "</p>" * n):
+        began = time.perf_counter()
+        html_text.blocks(make(60_000))
+        assert time.perf_counter() - began < 8
+    assert html_text.blocks('<p title=it\'s a="b>c">one<p x=">two</p>1 < 2 <3') == [("one", 0), ("two", 0), ("1 < 2 <3", 0)]
+    assert html_text.blocks("<head><title>t<body>a<math><mi>x</mi></math><object>o</object>")[1:] == [("axo", 0)]
+
+
+def test_html_repeats_decide_without_landmarks(spark):
+    rng = random.Random(9)
+    menus = {k: [passage(rng, 12) for _ in range(3)] for k in "abc"}
+    own = [[passage(rng, 30) + "." for _ in range(4)] for _ in range(12)]
+    pages = []
+    for i, text in enumerate(own):
+        top, side, foot = menus["abc"[i % 3]]
+        pages.append((i, f"http://{'abc'[i % 3]}.org/{i}", f"<div>{top}</div><div>{side}</div>" + "".join(f"<p>{x}</p>" for x in text) + f"<div>{foot}</div>"))
+    got = {r.id: r.text for r in html_text.main_text(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    assert got == {i: "\n".join(x) for i, x in enumerate(own)}
+
+
 @pytest.mark.parametrize("run", [substring_dedup, suffix_dedup, minhash.near_classes, pii.find_pii, pii.redact, mixing.mix])
 def test_empty_tables(empty, run):
     assert run(empty).count() == 0
