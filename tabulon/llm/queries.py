@@ -119,11 +119,17 @@ l AS (
     / (sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS level FROM w),
 f AS (SELECT level FROM l WHERE level <= cap / weight ORDER BY cap / weight, rank LIMIT 1),
 t AS (SELECT source, source_size, least(cap::DOUBLE, (SELECT level FROM f) * weight) AS target FROM w),
-c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY turn, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS upto FROM d)
-SELECT doc_id, size, source_size, coalesce(target, 0) AS target,
-  (greatest(0, least(size, floor(coalesce(target, 0))::BIGINT - (upto - size)))
-   + greatest(0, least(size, floor(coalesce(target, 0))::BIGINT - (upto - size + source_size))))::BIGINT AS taken
-FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source
+c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY turn, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS upto FROM d),
+b AS (SELECT floor(sum(source_size) * 1.5::DOUBLE)::BIGINT AS budget FROM s),
+k AS (
+  SELECT c.source, t.target, size, upto - size + source_size * copy AS start, unnest(range(0, (size - 1) // 256 + 1)) AS nth
+  FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source, (VALUES (0), (1)) AS v(copy) WHERE size > 0 AND target > 0),
+p AS (SELECT source, target, least(size - nth * 256, 256)::BIGINT AS words, (start + nth * 256 + least(size - nth * 256, 256))::BIGINT AS until FROM k),
+q AS (SELECT source, words, sum(words) OVER (ORDER BY until / target, source NULLS LAST, until ROWS UNBOUNDED PRECEDING)::BIGINT AS total FROM p),
+r AS (SELECT source, sum(greatest(0, least(words, budget - (total - words))))::BIGINT AS served FROM q, b GROUP BY source)
+SELECT c.doc_id, c.size, t.source_size, coalesce(t.target, 0) AS target,
+  (greatest(0, least(c.size, coalesce(r.served, 0) - (upto - c.size))) + greatest(0, least(c.size, coalesce(r.served, 0) - (upto - c.size + t.source_size))))::BIGINT AS taken
+FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source LEFT JOIN r ON c.source IS NOT DISTINCT FROM r.source
 """
 
 OP5_SQL = r"""
