@@ -11,8 +11,10 @@ The item index is broadcast only while its measured size stays under
 
 Defined results: null or wordless texts have no words and no hits; an item of
 fewer words than the window counts as one window; an item without words never
-occurs; repeated items all count; repeated documents each get their row; no
-items: nothing is hit.
+occurs; repeated items count once; items without an id hit words like any other
+and are one null in the list of items, last; item ids may be numbers or texts
+and are listed as text; repeated documents each get their row; no items: nothing
+is hit.
 """
 
 from __future__ import annotations
@@ -99,13 +101,17 @@ def window_prints(roll: K.Rolling, s: np.ndarray, m: int) -> np.ndarray:
     return least[s]
 
 
-ITEM_WINDOWS = "m int, v1 long, v2 long, item long, h long"
+ITEM_WINDOWS = "m int, v1 long, v2 long, item string, h long"
 
 
 class Index:
     """Sorted item windows: fingerprint hashes per length, and window hashes with the items that hold them."""
 
-    def __init__(self, m: np.ndarray, v1: np.ndarray, v2: np.ndarray, item: np.ndarray, h: np.ndarray):
+    def __init__(self, windows: pa.Table):
+        m, v1, v2, h = (windows.column(c).to_numpy() for c in ("m", "v1", "v2", "h"))
+        coded = windows.column("item").combine_chunks().dictionary_encode(null_encoding="encode")
+        self.names = coded.dictionary
+        item = np.asarray(coded.indices).astype(np.int64)
         self.by_length = {}
         for length in np.unique(m):
             pick = m == length
@@ -173,15 +179,17 @@ def lookup(index: Index):
                     starts.append(x)
                     lengths.append(y - x)
                 part = batch.slice(lo, hi - lo)
+                edge = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
+                named = pa.ListArray.from_arrays(pa.array(edge), index.names.take(pa.array(np.concatenate(found))))
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in kept), pa.array(np.diff(off)), pa.array(starts, pa.list_(pa.int64())), pa.array(lengths, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.int64()))],
+                    [*(part.column(c) for c in kept), pa.array(np.diff(off)), pa.array(starts, pa.list_(pa.int64())), pa.array(lengths, pa.list_(pa.int64())), named],
                     [*kept, "n_words", "starts", "lengths", "items"],
                 )
 
     return run
 
 
-HITS = "n_words long, starts array<long>, lengths array<long>, items array<long>"
+HITS = "n_words long, starts array<long>, lengths array<long>, items array<string>"
 
 
 def doc_prints(lengths: list[int]):
@@ -265,13 +273,14 @@ def by_shuffle(docs: DataFrame, windows: DataFrame, shape: str) -> DataFrame:
         held.select("rid", "m", "v1", "v2").distinct()
         .join(windows.select("m", "v1", "v2", "item").distinct(), ["m", "v1", "v2"])
         .groupBy("rid")
-        .agg(F.array_sort(F.collect_set("item")).alias("items"))
+        .agg(F.collect_set(F.struct("item")).alias("x"))
+        .select("rid", F.col("x.item").alias("items"))
     )
     no_hits = F.array().cast("array<struct<m:int,s:int>>")
     return (
         stored.join(places, "rid", "left")
         .join(items, "rid", "left")
-        .select(*kept, "text", F.coalesce("hits", no_hits).alias("hits"), F.coalesce("items", F.array().cast("array<long>")).alias("items"))
+        .select(*kept, "text", F.coalesce("hits", no_hits).alias("hits"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
         .mapInArrow(assemble, shape)
     )
 
@@ -287,20 +296,19 @@ def decontaminate(
     broadcast_bytes: int = BROADCAST_BYTES,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """id, ``carry`` as a struct if any, n_words, spans of hit words (start, length), sorted ids of the items whose windows occur."""
+    """id, ``carry`` as a struct if any, n_words, spans of hit words (start, length), ids (as text, sorted) of the items whose windows occur."""
     windows = materialise(
-        items.select(F.col(item_col).cast("long").alias("item"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text"))
+        items.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text"))
         .mapInArrow(item_windows(window), ITEM_WINDOWS),
         "windows",
-    ).filter("item is not null")
+    )
     kept = [F.struct(*carry).alias("carried")] if carry else []
     texts = docs.select(F.col(id_col).cast("long").alias("id"), *kept, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     shape = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema.fields[:-1]), HITS])
-    if windows.count() * 36 <= broadcast_bytes:
-        got = windows.toPandas()
-        index = Index(*(got[c].to_numpy() for c in ("m", "v1", "v2", "item", "h")))
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-        hits = texts.mapInArrow(lambda batches: lookup(shared.value)(batches), shape)
+    if (windows.agg(F.sum(F.coalesce(F.length("item"), F.lit(0)) + 36)).first()[0] or 0) <= broadcast_bytes:
+        # the index goes with the plan, so that it ends with it
+        index = Index(windows.toArrow())
+        hits = texts.mapInArrow(lookup(index), shape)
     else:
         hits = by_shuffle(texts, windows, shape)
-    return hits.select(*texts.columns[:-1], "n_words", F.arrays_zip(F.col("starts").alias("start"), F.col("lengths").alias("length")).alias("spans"), "items")
+    return hits.select(*texts.columns[:-1], "n_words", F.arrays_zip(F.col("starts").alias("start"), F.col("lengths").alias("length")).alias("spans"), F.array_sort("items").alias("items"))

@@ -109,9 +109,12 @@ def test_phrases_of_a_long_text_in_pieces(monkeypatch):
         assert all(len(x) == 1 for x in heads.values())
 
 
-def test_decontaminate_both_ways(spark, docs, texts):
-    items = [(1, " ".join(texts[25].split()[10:40])), (2, texts[4].upper()), (3, "A"), (4, ""), (5, None), (6, "w1 w2"), (7, texts[30]), (7, texts[30])]
-    bench = spark.createDataFrame(items, "item_id bigint, text string")
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_decontaminate_both_ways(spark, docs, texts, kind):
+    items = [(None, texts[27]), (None, texts[33]), (1, " ".join(texts[25].split()[10:40])), (2, texts[4].upper()), (3, "A"), (4, ""), (5, None), (6, "w1 w2"), (7, texts[30]), (7, texts[30])]
+    if kind == "string":
+        items = [(i and f"x{i}", t) for i, t in items]
+    bench = spark.createDataFrame(items, f"item_id {kind}, text string")
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     cut = lambda t: word.findall(re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
     held = collections.defaultdict(set)
@@ -128,7 +131,7 @@ def test_decontaminate_both_ways(spark, docs, texts):
                 if tuple(w[s : s + m]) in held:
                     hit |= set(range(s, s + m))
                     found |= held[tuple(w[s : s + m])]
-        want.append((r.doc_id, len(w), len(hit), tuple(sorted(found))))
+        want.append((r.doc_id, len(w), len(hit), tuple(sorted((str(i) for i in found if i is not None))) + ((None,) if None in found else ())))
     for limit in (1 << 20, 0):
         got = [(r.id, r.n_words, sum(s.length for s in r.spans), tuple(r["items"])) for r in decontaminate.decontaminate(docs, bench, broadcast_bytes=limit).collect()]
         assert bag(got) == bag(want)
