@@ -28,7 +28,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,10 +74,11 @@ def gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Model:
     """Cost tables of all languages: symbol map, row of each context, bits by (row, symbol, language)."""
 
-    def __init__(self, counts: pd.DataFrame):
-        self.langs = sorted(counts["lang"].unique())
-        gram, n = counts["gram"].to_numpy(np.int64), counts["n"].to_numpy(np.int64)
-        lang = np.searchsorted(self.langs, counts["lang"].to_numpy())
+    def __init__(self, counts: pa.Table):
+        coded = counts.column("lang").combine_chunks().dictionary_encode()
+        self.langs = sorted(coded.dictionary.to_pylist())
+        gram, n = counts.column("gram").to_numpy(), counts.column("n").to_numpy()
+        lang = np.searchsorted(self.langs, coded.dictionary.to_pylist())[np.asarray(coded.indices)]
         parts = [(gram >> s) & 255 for s in (24, 16, 8, 0)]
         used = np.unique(np.concatenate([*parts, [PAD]]))
         self.symbol = np.zeros(256, np.uint8)
@@ -89,13 +89,18 @@ class Model:
 
         def costs(shape: tuple[int, ...], where: tuple[np.ndarray, ...], shorter: np.ndarray) -> np.ndarray:
             """Bits by (context.., symbol) of one language from its counts and the costs in the shorter context."""
-            have = np.zeros(shape)
-            np.add.at(have, where[:-1], where[-1])
-            total, kinds = have.sum(-1, keepdims=True), (have > 0).sum(-1, keepdims=True)
+            bits = np.asarray(np.broadcast_to(shorter, shape), np.float32).copy()
+            total, kinds = np.zeros(shape[:-1]), np.zeros(shape[:-1])
+            have, at = np.unique(np.ravel_multi_index(where[:-1], shape), return_inverse=True)
+            have_n = np.bincount(at, where[-1])
+            np.add.at(total.reshape(-1), have // shape[-1], have_n)
+            np.add.at(kinds.reshape(-1), have // shape[-1], 1)
             with np.errstate(divide="ignore", invalid="ignore"):
-                seen = -np.log2(have / (total + kinds))
-                escape = -np.log2(kinds / (total + kinds))
-            return np.where(total == 0, shorter, np.where(have > 0, seen, escape + shorter)).astype(np.float32)
+                escape = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0.0)
+            bits += escape[..., None].astype(np.float32)
+            whole = (total + kinds).reshape(-1)[have // shape[-1]]
+            bits.reshape(-1)[have] = -np.log2(have_n / whole)
+            return bits
 
         contexts = np.unique((p3 * a + p2) * a + p1)
         two, three = [], []
@@ -156,8 +161,8 @@ def train(docs: DataFrame, text_col: str, lang_col: str, key: Column, sample_row
     if share.count() <= MOST_LANGS:  # a bounded side; the texts stay where they are
         share = F.broadcast(share)
     sample = rows.join(share, "lang").filter("draw < below").select("lang", "text")
-    counts = sample.mapInArrow(gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    return Model(counts) if len(counts) else None
+    counts = sample.mapInArrow(gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    return Model(counts) if counts.num_rows else None
 
 
 def identify(

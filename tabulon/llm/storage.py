@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Where each stored result lies, and its table name if it is bucketed.
 STORED: WeakKeyDictionary[DataFrame, tuple[str, str | None]] = WeakKeyDictionary()
+#: All of these that are not deleted yet.
+LIVE: dict[str, str | None] = {}
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -35,7 +37,7 @@ def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     path = f"{work_dir(spark)}/tabulon/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    STORED[out] = (path, None)
+    STORED[out], LIVE[path] = (path, None), None
     return out
 
 
@@ -45,15 +47,24 @@ def discard(*stored: DataFrame) -> None:
     The shuffle files of finished plans go as well, as soon as the driver has
     collected its garbage.
     """
-    for df in stored:
-        path, ident = STORED.pop(df)
-        spark = df.sparkSession
-        if ident:
+    if stored:
+        delete(stored[0].sparkSession, [STORED.pop(df)[0] for df in stored])
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        if ident := LIVE.pop(path):
             spark.sql(f"DROP TABLE IF EXISTS {ident}")
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
-    if stored:
-        collect_garbage(stored[0].sparkSession)
+    collect_garbage(spark)
+
+
+def settled(df: DataFrame, earlier: set[str], name: str) -> DataFrame:
+    """Store a result and delete whatever was stored since ``earlier`` (the keys of ``LIVE`` then) to make it."""
+    out = materialise(df, name)
+    delete(df.sparkSession, [p for p in LIVE if p not in earlier and p != STORED[out][0]])
+    return out
 
 
 def collect_garbage(spark: SparkSession) -> None:
@@ -76,5 +87,5 @@ def bucketed(df: DataFrame, key: str, name: str = "store") -> DataFrame:
         .saveAsTable(ident)
     )
     out = spark.table(ident)
-    STORED[out] = (path, ident)
+    STORED[out], LIVE[path] = (path, ident), ident
     return out

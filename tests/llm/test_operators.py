@@ -359,7 +359,7 @@ def test_language(spark, empty):
 
 
 def test_language_costs_are_the_frozen_code_lengths():
-    import pandas as pd
+    import pyarrow as pa
 
     train = {"p": "abracadabra abra", "q": "banana bandana"}
     counts = []
@@ -367,7 +367,7 @@ def test_language_costs_are_the_frozen_code_lengths():
         b = b"\n\n\n" + t.encode()
         for g, n in collections.Counter(b[i - 3 : i + 1] for i in range(3, len(b))).items():
             counts.append((k, int.from_bytes(g, "big"), n))
-    model = language.Model(pd.DataFrame(counts, columns=["lang", "gram", "n"]))
+    model = language.Model(pa.table([pa.array(x) for x in zip(*counts)], names=["lang", "gram", "n"]))
     text = "abandon cadab?z".encode()
     got = model.lengths(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]
 
