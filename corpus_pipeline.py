@@ -14,7 +14,7 @@ from tabulon.llm.decontaminate import decontaminate
 from tabulon.llm.language import UNKNOWN, identify
 from tabulon.llm.minhash import near_classes
 from tabulon.llm.mixing import schedule
-from tabulon.llm.storage import materialise
+from tabulon.llm.storage import LIVE, discard, settled
 
 #: The least posterior of a language for a document to stay.
 LEAST_SCORE = 0.5
@@ -75,7 +75,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name.split()[0])
+        earlier = set(LIVE)
+        docs = settled(stage(spark, docs, sf_dir), earlier, name.split()[0])
+        if last is not None:
+            discard(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
