@@ -95,17 +95,19 @@ def schedule(
     placed = offsets.join(source_targets(sizes, weights, share, repeats), ["src", "src_null"])
     inside = W.partitionBy("src", "src_null", "slice").orderBy("turn", "id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
     # the sum inside a slice uses the exchange that the join on the same keys needs
-    def timed(rows: DataFrame) -> DataFrame:
+    def timed(rows: DataFrame, placed: DataFrame) -> DataFrame:
         placed_rows = rows.withColumn("upto", F.sum("size").over(inside)).join(placed, ["src", "src_null", "slice"])
         return placed_rows.withColumn("end", F.col("offset") + F.col("upto")).drop("offset", "upto", "slice", "turn")
 
-    ends = materialise(timed(slim), "ends")
+    placed = materialise(placed, "placed")
+    ends = materialise(timed(slim, placed), "ends")
     served = served_words(ends.select("src", "src_null", "source_size", "target", "size", "end"), sizes, share, repeats)
-    # as many rows as sources
-    mixed = (timed(rows) if carry else ends).join(served, ["src", "src_null"], "left")
+    # joined to the slices, so that no text moves for it
+    placed = materialise(placed.join(served, ["src", "src_null"], "left").withColumn("served", F.coalesce("served", F.lit(0))), "placed")
+    mixed = timed(rows if carry else slim, placed)
     first = F.col("end") - F.col("size")
     taken = sum(
-        F.greatest(F.lit(0), F.least(F.col("size"), F.coalesce("served", F.lit(0)) - (first + F.col("source_size") * turn))) for turn in range(repeats)
+        F.greatest(F.lit(0), F.least(F.col("size"), F.col("served") - (first + F.col("source_size") * turn))) for turn in range(repeats)
     )
     return mixed.select(
         "id", "size", "source_size", "target", taken.cast("long").alias("taken"),
