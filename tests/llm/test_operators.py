@@ -470,6 +470,36 @@ def test_ann(spark):
     assert hits / 60 >= 0.9
 
 
+def test_ann_lengths_do_not_mix(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(v) for v in rng.standard_normal(3 if i % 2 else 5)], 1, "x") for i in range(40)] + [(100, [1.0], 0, ""), (100, [2.0, 1.0, 0.0], 0, ""), (150, None, 0, "")]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, t int, key string")
+    got = collections.defaultdict(list)
+    for r in ann.nearest(frame, F.col("id") % 10 == 0, probes=60).collect():
+        got[r.query_id].append(r.id)
+    even = set(range(0, 40, 2))
+    assert set(got) == {0, 10, 20, 30}  # of id 100 the least vector counts, and no other has its length
+    assert all(set(v) <= even - {q} for q, v in got.items())
+
+
+def test_ann_visits_little_of_clustered_vectors():
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal((200, 32))
+    x = base[rng.integers(0, 200, 8000)] + 0.25 * rng.standard_normal((8000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    family, table = ann.Family(32, 5, 10, 1.0), ann.probe_table(10, 30)
+    stored = family.keys(family.cells(x)[0])
+    queries = np.arange(0, 8000, 50)
+    keys = ann.probed_keys(family, table, x[queries])
+    visited = found = 0
+    for i, q in enumerate(queries):
+        seen = np.unique(np.concatenate([np.flatnonzero(np.isin(stored[:, t], keys[:, i, t])) for t in range(5)]))
+        visited += len(seen)
+        near = np.argsort(-(x @ x[q]), kind="stable")
+        found += len(set(near[near != q][:5].tolist()) & set(seen.tolist()))
+    assert found / (5 * len(queries)) >= 0.9 and visited / (len(queries) * len(x)) < 0.1
+
+
 def test_html(spark):
     menu = "<div>Start here to read all the news of the whole wide town today</div>"
     pages = [
