@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .storage import materialise
+from .storage import discard, materialise
 
 DECAY = 0.6
 REACH = 4
@@ -51,8 +51,6 @@ LANDMARKS = 96
 #: Groups of like landmarks that bound similarities.
 FAMILIES = 10
 SAMPLE_ROWS = 3000
-#: Words of the training texts that the fit weighs at most, of either kind.
-TRAIN_WORDS = 20_000
 CACHE = 1 << 21
 THRESHOLD = 0.7
 SYMBOLS = 32
@@ -262,13 +260,7 @@ class Model:
 
     def fit(self, words: pd.DataFrame, witnesses: list[list[int]], n_clean: int, turns: int = 4, ridge: float = 3e-5) -> None:
         """words: word, t, c. witnesses: of each toxic text, the places of its words in ``words``."""
-        parts = [folded(w) for w in words["word"]]
-        size = np.array([len(x) for x in parts])
-        end = np.cumsum(size)
-        live, rows = self.marks.rows(np.concatenate(parts), end - size, end)
-        kernel = np.zeros((len(words), len(self.marks.words)))
-        kernel[live] = rows
-        mapped = kernel @ self.root
+        live, mapped = self.mapped(words["word"])
         t, c = words["t"].to_numpy(float), words["c"].to_numpy(float)
         lead = np.log((t + 0.5) / (c + 0.5))
         share = t.sum() / max(c.sum(), 1)
@@ -277,11 +269,28 @@ class Model:
             # the best word of each toxic text, and all its words that already stand out
             chosen = np.bincount(np.array([max(w, key=lead.__getitem__) for w in witnesses if w], int), minlength=len(words)).astype(float)
             chosen = np.where(strong | (lead > 0.5) & (turn > 0), t, chosen)
-            pos, neg = np.flatnonzero(chosen > 0), np.flatnonzero(c > 0)
-            y = np.concatenate([np.ones(len(pos)), -np.ones(len(neg))])
-            weight = np.concatenate([chosen[pos] / max(chosen.sum(), 1), c[neg] / n_clean])
-            self.weight, self.bias = squared_hinge(np.concatenate([mapped[pos], mapped[neg]]), y, weight, ridge)
-            lead = mapped @ self.weight + self.bias
+            # words without any similarity share one row, so that all words count and few are held
+            x, y, weight = [], [], []
+            for sign, amount in ((1.0, chosen / max(chosen.sum(), 1)), (-1.0, c / n_clean)):
+                own = np.flatnonzero(amount[live] > 0)
+                x += [mapped[own], np.zeros((1, mapped.shape[1]))]
+                weight += [amount[live][own], [amount.sum() - amount[live].sum()]]
+                y.append(np.full(len(own) + 1, sign))
+            self.weight, self.bias = squared_hinge(np.concatenate(x), np.concatenate(y), np.concatenate(weight), ridge)
+            lead = np.full(len(t), self.bias)
+            lead[live] += mapped @ self.weight
+
+    def mapped(self, words: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        """The words similar to some toxic landmark, and their rows in the Nystroem space."""
+        live, rows = [np.zeros(0, np.int64)], [np.zeros((0, len(self.root)))]
+        for lo in range(0, len(words), 20_000):
+            parts = [folded(w) for w in words.iloc[lo : lo + 20_000]]
+            size = np.array([len(x) for x in parts])
+            end = np.cumsum(size)
+            at, row = self.marks.rows(np.concatenate(parts), end - size, end)
+            live.append(lo + at)
+            rows.append(row @ self.root)
+        return np.concatenate(live), np.concatenate(rows)
 
 
 def squared_hinge(x: np.ndarray, y: np.ndarray, c: np.ndarray, ridge: float, steps: int = 30) -> tuple[np.ndarray, float]:
@@ -325,7 +334,7 @@ def text_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spelt = alphabet[letters].tobytes().decode()
             ids, found = [], []
             for i in range(hi - lo):
-                own = {spelt[a:b] for a, b in zip(start[off[i] : off[i + 1]].tolist(), end[off[i] : off[i + 1]].tolist(), strict=True) if b - a >= 3}
+                own = {spelt[a:b] for a, b in zip(start[off[i] : off[i + 1]].tolist(), end[off[i] : off[i + 1]].tolist(), strict=True)}
                 found += own
                 ids.append(len(own))
             row = pa.array(np.repeat(np.arange(lo, hi), ids))
@@ -368,9 +377,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     if not totals.get(0) or not totals.get(1):
         return None
     stats = held.distinct().groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-    toxic_words = stats.filter("t >= 2").orderBy(F.desc(F.col("t") / (F.col("c") + 1)), "word").limit(TRAIN_WORDS)
-    clean_words = stats.filter("t < 2 and c > 0").orderBy(F.xxhash64("word"), "word").limit(TRAIN_WORDS)
-    words = toxic_words.union(clean_words).toPandas().sort_values("word", ignore_index=True)
+    # the words of the bounded sample
+    words = stats.filter("t >= 2 or c > 0").toArrow().to_pandas().sort_values("word", ignore_index=True)
     chosen_words, n_marked = choose_landmarks(words, totals[1], totals[0])
     if not chosen_words:
         return None
@@ -378,14 +386,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     share = (words["t"] + 0.5) / (words["c"] + 0.5) > (totals[1] / totals[0])
     place = {w: i for i, w in enumerate(words["word"]) if share[i] and words["t"][i] >= 2}
     near = docs.sparkSession.createDataFrame(list(place.items()) or [("", 0)], "word string, place int")
-    toxic_rows = held.filter("toxic = 1").distinct().join(F.broadcast(near), "word").select("rid", "place").toPandas()
+    toxic_rows = held.filter("toxic = 1").distinct().join(F.broadcast(near), "word").select("rid", "place").toArrow().to_pandas()
     witnesses: dict[int, list[int]] = {}
     for rid, at in zip(toxic_rows["rid"].tolist(), toxic_rows["place"].tolist(), strict=True):
         witnesses.setdefault(rid, []).append(at)
     model = Model(Landmarks(chosen_words, n_marked))
     model.fit(words, [witnesses[r] for r in sorted(witnesses)], totals[0])
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    margins = sample.select("rid", "toxic", "text").mapInArrow(margins_of(shared, ["rid", "toxic"]), "rid long, toxic int, margin double").toPandas()
+    margins = sample.select("rid", "toxic", "text").mapInArrow(margins_of(shared, ["rid", "toxic"]), "rid long, toxic int, margin double").toArrow().to_pandas()
+    shared.destroy()
+    discard(sample, held)
     model.slope, model.shift = logistic(margins["margin"].to_numpy(), margins["toxic"].to_numpy(float))
     return model
 
