@@ -10,6 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .model import Dataset
 from .session import Session
@@ -192,10 +193,10 @@ add(
 
 def _register(session: Session) -> None:
     session.register("halved", lambda x: x / 2, ["number"], "number")
-    session.register_dataset_fn("first_keys", lambda ds, n: Dataset(ds.df.filter(f"o_orderkey < {n}"), ds.structure))
+    session.register_dataset_fn("above", lambda ds, n: Dataset(ds.df.filter(f"a > {n}"), ds.structure))
 
 
-add("registered_functions", "res := first_keys(orders[calc a := halved(o_totalprice)][keep a], 100);", "SELECT o_orderkey, o_totalprice / 2 AS a FROM orders WHERE o_orderkey < 100", prepare=_register)
+add("registered_functions", "res := above(orders[calc a := halved(o_totalprice)][keep a], 1000);", "SELECT o_orderkey, o_totalprice / 2 AS a FROM orders WHERE o_totalprice / 2 > 1000", prepare=_register)
 
 # ---- joins
 CUSTOMERS = "c := customer[rename c_custkey to o_custkey]; o := orders[calc identifier o_custkey2 := o_custkey][drop o_custkey][rename o_custkey2 to o_custkey];"
@@ -212,8 +213,8 @@ add(
 )
 add(
     "full_join",
-    "a := customer[filter c_custkey < 1000][keep c_acctbal][rename c_acctbal to x]; b := customer[filter c_custkey > 500][keep c_nationkey][rename c_nationkey to y]; res := full_join(a, b);",
-    "SELECT c_custkey, CASE WHEN c_custkey < 1000 THEN c_acctbal END AS x, CASE WHEN c_custkey > 500 THEN c_nationkey END::BIGINT AS y FROM customer",
+    "a := customer[filter c_acctbal > 0][keep c_acctbal][rename c_acctbal to x]; b := customer[filter c_nationkey > 5][keep c_nationkey][rename c_nationkey to y]; res := full_join(a, b);",
+    "SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS x, CASE WHEN c_nationkey > 5 THEN c_nationkey END::BIGINT AS y FROM customer WHERE c_acctbal > 0 OR c_nationkey > 5",
 )
 add("cross_join", "res := cross_join(nation[keep n_name] as a, region as b);", "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, r_regionkey::BIGINT AS r_regionkey, r_name FROM nation, region")
 add(
@@ -233,8 +234,8 @@ add(
 )
 add(
     "join_apply",
-    "a := customer[keep c_acctbal]; b := customer[filter c_custkey < 700][keep c_acctbal]; res := inner_join(a as d1, b as d2 apply d1 + d2);",
-    "SELECT c_custkey, c_acctbal + c_acctbal AS c_acctbal FROM customer WHERE c_custkey < 700",
+    'a := customer[keep c_acctbal]; b := customer[filter c_mktsegment <> "BUILDING"][keep c_acctbal]; res := inner_join(a as d1, b as d2 apply d1 + d2);',
+    "SELECT c_custkey, c_acctbal + c_acctbal AS c_acctbal FROM customer WHERE c_mktsegment <> 'BUILDING'",
 )
 add(
     "exists_in",
@@ -248,15 +249,12 @@ add(
 )
 
 # ---- sets
-PARTS = "a := events[filter event_id < 6000][keep value]; b := events[filter event_id > 4000][calc value := value + 1][keep value];"
-add(
-    "union_first_wins",
-    PARTS + "res := union(a, b);",
-    "SELECT event_id, value FROM events WHERE event_id < 6000 UNION ALL SELECT event_id, value + 1 FROM events WHERE event_id > 4000 AND event_id >= 6000",
-)
-add("intersect", PARTS + "res := intersect(a, b);", "SELECT event_id, value FROM events WHERE event_id < 6000 AND event_id > 4000")
-add("setdiff", PARTS + "res := setdiff(a, b);", "SELECT event_id, value FROM events WHERE event_id <= 4000")
-add("symdiff", PARTS + "res := symdiff(a, b);", "SELECT event_id, value FROM events WHERE event_id <= 4000 UNION ALL SELECT event_id, value + 1 FROM events WHERE event_id >= 6000")
+PARTS = 'a := events[filter event_type <> "click"][keep value]; b := events[filter value > 20][calc value := value + 1][keep value];'
+IN_A, IN_B = "coalesce(event_type <> 'click', false)", "coalesce(value > 20, false)"
+add("union_first_wins", PARTS + "res := union(a, b);", f"SELECT event_id, CASE WHEN {IN_A} THEN value ELSE value + 1 END AS value FROM events WHERE {IN_A} OR {IN_B}")
+add("intersect", PARTS + "res := intersect(a, b);", f"SELECT event_id, value FROM events WHERE {IN_A} AND {IN_B}")
+add("setdiff", PARTS + "res := setdiff(a, b);", f"SELECT event_id, value FROM events WHERE {IN_A} AND NOT {IN_B}")
+add("symdiff", PARTS + "res := symdiff(a, b);", f"SELECT event_id, value FROM events WHERE {IN_A} AND NOT {IN_B} UNION ALL SELECT event_id, value + 1 FROM events WHERE {IN_B} AND NOT {IN_A}")
 
 # ---- aggregation
 add("group_by", "res := orders[aggr n := count(), s := round(sum(o_totalprice), 2) group by o_orderstatus];", "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS s FROM orders GROUP BY o_orderstatus")
@@ -354,11 +352,11 @@ add(
 )
 
 # ---- dataset operations
-TWO = "a := customer[calc x := c_acctbal, y := c_nationkey * 1.0][keep x, y]; b := customer[filter c_custkey < 900][calc x := c_acctbal / 2, y := c_custkey * 1.0][keep x, y];"
-add("ds_plus_ds", TWO + "res := a + b;", "SELECT c_custkey, c_acctbal + c_acctbal / 2 AS x, c_nationkey + c_custkey::DOUBLE AS y FROM customer WHERE c_custkey < 900")
+TWO = "a := customer[calc x := c_acctbal, y := c_nationkey * 1.0][keep x, y]; b := customer[calc x := c_acctbal / 2, y := c_custkey * 1.0][keep x, y];"
+add("ds_plus_ds", TWO + "res := a + b;", "SELECT c_custkey, c_acctbal + c_acctbal / 2 AS x, c_nationkey + c_custkey::DOUBLE AS y FROM customer")
 add("ds_scalar", TWO + "res := round(a * 3 - 1, 2);", "SELECT c_custkey, round(c_acctbal * 3 - 1, 2) AS x, c_nationkey * 3.0::DOUBLE - 1 AS y FROM customer")
 add("ds_compare_bool_var", "res := customer#c_acctbal > 1000;", "SELECT c_custkey, c_acctbal > 1000 AS bool_var FROM customer")
-add("ds_multi_bool", TWO + "res := a > b;", "SELECT c_custkey, c_acctbal > c_acctbal / 2 AS x, c_nationkey > c_custkey AS y FROM customer WHERE c_custkey < 900")
+add("ds_multi_bool", TWO + "res := a > b;", "SELECT c_custkey, c_acctbal > c_acctbal / 2 AS x, c_nationkey > c_custkey AS y FROM customer")
 add(
     "ds_if",
     "v := customer#c_acctbal; cond := v > 1000; res := if cond then v else v * 0.5;",
@@ -406,10 +404,10 @@ add(
 )
 HR = (
     "define hierarchical ruleset hr (variable rule code) is total: T = O + F + P errorcode \"off\" errorlevel 4; diff: O >= T - F errorcode \"less\" errorlevel 2; M = O + X end hierarchical ruleset; "
-    "base := orders[filter mod(o_custkey, 50) < 40][calc identifier cust := o_custkey, identifier code := if mod(o_orderkey, 11) = 0 then \"T\" else o_orderstatus, v := floor(o_totalprice / 1000) - 100][keep v]; "
+    "base := orders[calc identifier cust := o_custkey, identifier code := if mod(o_orderkey, 11) = 0 then \"T\" else o_orderstatus, v := floor(o_totalprice / 1000) - 100][keep v]; "
     "items := base[aggr v := sum(v) group by cust, code][calc v := if mod(cust, 7) = 0 and code = \"F\" then null else if mod(cust, 5) = 0 then 0 else v];"
 )
-HR_SQL = """WITH base AS (SELECT o_custkey AS cust, CASE WHEN o_orderkey % 11 = 0 THEN 'T' ELSE o_orderstatus END AS code, (floor(o_totalprice / 1000) - 100)::BIGINT AS v FROM orders WHERE o_custkey % 50 < 40),
+HR_SQL = """WITH base AS (SELECT o_custkey AS cust, CASE WHEN o_orderkey % 11 = 0 THEN 'T' ELSE o_orderstatus END AS code, (floor(o_totalprice / 1000) - 100)::BIGINT AS v FROM orders),
 items AS (SELECT cust, code, CASE WHEN cust % 7 = 0 AND code = 'F' THEN NULL WHEN cust % 5 = 0 THEN 0 ELSE sum(v)::BIGINT END AS v FROM base GROUP BY cust, code),
 g AS (SELECT cust, bool_or(code = 'T') AS pt, bool_or(code = 'O') AS po, bool_or(code = 'F') AS pf, bool_or(code = 'P') AS pp, max(v) FILTER (code = 'T') AS t, max(v) FILTER (code = 'O') AS o, max(v) FILTER (code = 'F') AS f, max(v) FILTER (code = 'P') AS p FROM items GROUP BY cust),
 z AS (SELECT cust, pt, po, pf, pp, t, o, f, p, {t} AS ft, {o} AS fo, {f} AS ff, {p} AS fp, {x} AS fx FROM g),
@@ -474,33 +472,89 @@ add(
     "SELECT o_orderkey, 'Q' AS pa, 2020::BIGINT AS y, 2::BIGINT AS m FROM orders",
 )
 
-# ---- whole tables: the operators whose queries above take a part of their rows, with operands that differ by values
-WHOLE_PARTS = 'a := events[filter event_type <> "click"][keep value]; b := events[filter value > 20][calc value := value + 1][keep value];'
-IN_A, IN_B = "coalesce(event_type <> 'click', false)", "coalesce(value > 20, false)"
-add("intersect_whole", WHOLE_PARTS + "res := intersect(a, b);", f"SELECT event_id, value FROM events WHERE {IN_A} AND {IN_B}")
-add("setdiff_whole", WHOLE_PARTS + "res := setdiff(a, b);", f"SELECT event_id, value FROM events WHERE {IN_A} AND NOT {IN_B}")
-add("symdiff_whole", WHOLE_PARTS + "res := symdiff(a, b);", f"SELECT event_id, value FROM events WHERE {IN_A} AND NOT {IN_B} UNION ALL SELECT event_id, value + 1 FROM events WHERE {IN_B} AND NOT {IN_A}")
-add("union_first_wins_whole", WHOLE_PARTS + "res := union(a, b);", f"SELECT event_id, CASE WHEN {IN_A} THEN value ELSE value + 1 END AS value FROM events WHERE {IN_A} OR {IN_B}")
-WHOLE_TWO = "a := customer[calc x := c_acctbal, y := c_nationkey * 1.0][keep x, y]; b := customer[calc x := c_acctbal / 2, y := c_custkey * 1.0][keep x, y];"
-add("ds_plus_ds_whole", WHOLE_TWO + "res := a + b;", "SELECT c_custkey, c_acctbal + c_acctbal / 2 AS x, c_nationkey + c_custkey::DOUBLE AS y FROM customer")
-add("ds_multi_bool_whole", WHOLE_TWO + "res := a > b;", "SELECT c_custkey, c_acctbal > c_acctbal / 2 AS x, c_nationkey > c_custkey AS y FROM customer")
-add(
-    "join_apply_whole",
-    'a := customer[keep c_acctbal]; b := customer[filter c_mktsegment <> "BUILDING"][keep c_acctbal]; res := inner_join(a as d1, b as d2 apply d1 + d2);',
-    "SELECT c_custkey, c_acctbal + c_acctbal AS c_acctbal FROM customer WHERE c_mktsegment <> 'BUILDING'",
+# ---- language: order of statements, persistent results, comments, routines, providers
+add(
+    "script_order",
+    "res <- b[calc z := x + 1] /* read before they are assigned */; b := a[calc x := o_totalprice * 2][keep x]; // to the end of the line\na := orders;",
+    "SELECT o_orderkey, o_totalprice * 2 AS x, o_totalprice * 2 + 1 AS z FROM orders",
+)
+add(
+    "eval_routine",
+    'res := eval(above(orders, 150000) language "spark" returns dataset);',
+    "SELECT * FROM orders WHERE o_totalprice > 150000",
+    prepare=lambda s: s.register_routine("above", lambda ds, n: Dataset(ds.df.filter(F.col("o_totalprice") > n.column), ds.structure)),
+)
+add(
+    "provider",
+    "res := orders[calc a := third(o_totalprice), b := initial(o_orderstatus)][keep a, b];",
+    "SELECT o_orderkey, o_totalprice / 3 AS a, substr(o_orderstatus, 1, 1) AS b FROM orders",
+    prepare=lambda s: s.use({"third": (lambda x: x / 3, ["number"], "number"), "initial": (lambda x: F.substring(x, 1, 1), ["string"], "string")}),
+)
+add(
+    "join_left_chain",
+    "a := customer[keep c_acctbal]; b := customer[filter c_acctbal > 0][keep c_nationkey]; c := customer[filter c_nationkey > 5][keep c_mktsegment]; res := left_join(a, b, c);",
+    "SELECT c_custkey, c_acctbal, CASE WHEN c_acctbal > 0 THEN c_nationkey END::BIGINT AS c_nationkey, CASE WHEN c_nationkey > 5 THEN c_mktsegment END AS c_mktsegment FROM customer",
 )
 
+# ---- numbers and texts at their edges
+add(
+    "round_beyond",
+    "res := orders[calc n := cast(mod(o_orderkey, 3) * 20 - 20, integer), x := o_totalprice * 10][calc r := round(x, n), t := trunc(x, n), u := trunc(x * power(10, 20))][keep r, t, u];",
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 0 WHEN o_orderkey % 3 = 1 THEN round(o_totalprice * 10) ELSE o_totalprice * 10 END AS r, "
+    "CASE WHEN o_orderkey % 3 = 0 THEN 0 WHEN o_orderkey % 3 = 1 THEN trunc(o_totalprice * 10) ELSE o_totalprice * 10 END AS t, o_totalprice * 10 * pow(10, 20) AS u FROM orders",
+)
+add(
+    "matches_whole",
+    'res := nation[calc a := match_characters(n_name, "[A-Z ]+"), b := match_characters(n_name, "A|[A-Z]*A"), c := match_characters(n_name || "x", "[A-Z]+")][keep a, b, c];',
+    "SELECT n_nationkey::BIGINT AS n_nationkey, regexp_full_match(n_name, '[A-Z ]+') AS a, regexp_full_match(n_name, 'A|[A-Z]*A') AS b, regexp_full_match(n_name || 'x', '[A-Z]+') AS c FROM nation",
+)
+add(
+    "pivot_cells",
+    "a := orders[calc identifier st := o_orderstatus, identifier cust := o_custkey][aggr v := round(sum(o_totalprice), 2) group by cust, st]; res := a[pivot st, v];",
+    "SELECT o_custkey AS cust, round(sum(o_totalprice) FILTER (o_orderstatus = 'F'), 2) AS F, round(sum(o_totalprice) FILTER (o_orderstatus = 'O'), 2) AS O, round(sum(o_totalprice) FILTER (o_orderstatus = 'P'), 2) AS P FROM orders GROUP BY o_custkey",
+)
 
-def _register_whole(session: Session) -> None:
-    session.register("halved", lambda x: x / 2, ["number"], "number")
-    session.register_dataset_fn("above", lambda ds, n: Dataset(ds.df.filter(f"a > {n}"), ds.structure))
-
-
-add("registered_functions_whole", "res := above(orders[calc a := halved(o_totalprice)][keep a], 1000);", "SELECT o_orderkey, o_totalprice / 2 AS a FROM orders WHERE o_totalprice / 2 > 1000", prepare=_register_whole)
-for _name in [n for n in Q if n.startswith("check_hierarchy") or n == "hierarchy"]:
-    add(f"{_name}_whole", Q[_name].script.replace("[filter mod(o_custkey, 50) < 40]", ""), Q[_name].sql.replace(" WHERE o_custkey % 50 < 40", ""))
+# ---- intervals and zones
+add(
+    "intervals",
+    'res := orders[calc a := cast("2020-01-15/2020-03-15", time_period), b := cast("2020-01-15/P2M", time_period), c := cast("P2M/2020-03-15", time_period), d := o_orderdate + cast("P1Y2M", duration)]'
+    "[calc ya := dayofyear(a), yb := dayofyear(b), yc := dayofyear(c), same := a = b and b = c, year := getyear(d), month := getmonth(d)][keep ya, yb, yc, same, year, month];",
+    "SELECT o_orderkey, 15::BIGINT AS ya, 15::BIGINT AS yb, 15::BIGINT AS yc, true AS same, year(o_orderdate + INTERVAL 14 MONTH)::BIGINT AS year, month(o_orderdate + INTERVAL 14 MONTH)::BIGINT AS month FROM orders",
+)
+add(
+    "periods_of_dates",
+    'res := orders[calc m := time_agg("M", _, o_orderdate), q := time_agg("Q", _, o_orderdate), now := current_date() > o_orderdate][keep m, q, now];',
+    "SELECT o_orderkey, date_trunc('month', o_orderdate)::TIMESTAMP AS m, date_trunc('quarter', o_orderdate)::TIMESTAMP AS q, true AS now FROM orders",
+)
+add(
+    "truncate_periods",
+    'res := orders[calc p := timeshift(cast("2020-02-10/2020-03-10", time_period), cast(mod(o_orderkey, 5), integer))][calc m := truncate_time(p, "month"), y := truncate_time(p, "year")]'
+    "[calc d := dayofmonth(m), k := getmonth(m), i := period_indicator(m), j := period_indicator(y)][keep d, k, i, j];",
+    "SELECT o_orderkey, 1::BIGINT AS d, 2 + o_orderkey % 5 AS k, 'M' AS i, 'A' AS j FROM orders",
+)
+add(
+    "zones",
+    'res := events[calc a := at_zone(ts, "+02:00"), b := truncate_time(ts, "day", "+02:00")][keep a, b];',
+    "SELECT event_id, ts + INTERVAL 2 HOUR AS a, date_trunc('day', ts + INTERVAL 2 HOUR)::TIMESTAMP - INTERVAL 2 HOUR AS b FROM events",
+)
 
+# ---- priorities of hierarchical rules
+PRIORITY = "define hierarchical ruleset hp (variable rule code) is T = O + F; U = T + P end hierarchical ruleset; " + HR.partition("end hierarchical ruleset; ")[2]
+PRIORITY_SQL = HR_SQL.split("z AS")[0].rstrip().rstrip(",")
+add(
+    "hierarchy_rule_priority",
+    PRIORITY + "res := hierarchy(items, hp rule code non_null rule_priority);",
+    PRIORITY_SQL + " SELECT cust, 'T' AS code, o + f AS v FROM g WHERE o + f IS NOT NULL UNION ALL SELECT cust, 'U', coalesce(o + f, t) + p FROM g WHERE coalesce(o + f, t) + p IS NOT NULL",
+)
+add(
+    "check_dataset_priority",
+    PRIORITY + "res := check_hierarchy(items, hp rule code non_null dataset_priority all_measures)[keep bool_var, imbalance];",
+    PRIORITY_SQL
+    + " SELECT cust, 'T' AS code, 'hp_1' AS ruleid, coalesce(t, o + f) = o + f AS bool_var, coalesce(t, o + f) - (o + f) AS imbalance FROM g WHERE o + f IS NOT NULL"
+    + " UNION ALL SELECT cust, 'U', 'hp_2', true, 0 FROM g WHERE coalesce(t, o + f) + p IS NOT NULL",
+)
 
+# ---- conditions of hierarchical rules
 WHEN = (
     "define hierarchical ruleset hw (variable condition cust as k, n as m rule code) is late: when mod(k, 3) = 0 then T = O + F errorcode \"late\"; many: when m > 4 then O = F errorcode \"many\"; every: F = O - P end hierarchical ruleset; "
     "define hierarchical ruleset hx (variable condition cust as k rule code) is when mod(k, 3) = 0 then A = O + F; when mod(k, 3) <> 0 then A = O - F; B = A + P end hierarchical ruleset; "

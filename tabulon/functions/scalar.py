@@ -159,8 +159,14 @@ def mod(a, b):
     return Scalar(F.when(y == 0, x).otherwise(F.try_mod(x, y) * F.when(y < 0, F.lit(-1.0)).otherwise(F.lit(1.0))), NUMBER)
 
 
-def by_digits(x: Column, digits: Scalar | None, make: Callable[[Column, int], Column]) -> Column:
-    """make(x, digits); digits from a column choose among the possible literals."""
+def steps(x: Column, digits: Column, half: float) -> Column:
+    """x in whole multiples of 10 ** -digits, towards zero after ``half`` a step is added."""
+    size = F.pow(F.lit(10.0), -digits)
+    return F.when(x < 0, F.lit(-1.0)).otherwise(F.lit(1.0)) * F.floor(F.abs(x) / size + half).cast("double") * size
+
+
+def by_digits(x: Column, digits: Scalar | None, make: Callable[[Column, int], Column], half: float) -> Column:
+    """make(x, digits); digits from a column choose among the usual literals, beyond which doubles have no digits or only whole steps."""
     if digits is None:
         return make(x, 0)
     if digits.literal is not None:
@@ -168,21 +174,23 @@ def by_digits(x: Column, digits: Scalar | None, make: Callable[[Column, int], Co
     out = F.when(digits.column.isNull(), make(x, 0))
     for n in DIGITS:
         out = out.when(digits.column == n, make(x, n))
-    return out.otherwise(x)
+    return out.when(digits.column > max(DIGITS), x).otherwise(steps(x, digits.column, half))
 
 
 @function("round", NUMERIC, (INTEGER,), required=1)
 def round_half_up(x, digits=None):
-    return Scalar(by_digits(dbl(x), digits, lambda v, n: F.round(v, n)), NUMBER)
+    return Scalar(by_digits(dbl(x), digits, lambda v, n: F.round(v, n), 0.5), NUMBER)
 
 
 @function("trunc", NUMERIC, (INTEGER,), required=1)
 def truncate(x, digits=None):
     def cut(v: Column, n: int) -> Column:
-        exact = F.abs(v).cast("decimal(38,15)")
-        return F.when(v < 0, F.lit(-1.0)).otherwise(F.lit(1.0)) * F.floor(exact, F.lit(n)).cast("double")
+        # from 2**53 on doubles are whole
+        exact = F.when(F.abs(v) < float(1 << 53), F.abs(v)).cast("decimal(38,15)")
+        whole = F.abs(v) if n >= 0 else steps(F.abs(v), F.lit(n), 0.0)
+        return F.when(v < 0, F.lit(-1.0)).otherwise(F.lit(1.0)) * F.coalesce(F.floor(exact, F.lit(n)).cast("double"), whole)
 
-    return Scalar(by_digits(dbl(x), digits, cut), NUMBER)
+    return Scalar(by_digits(dbl(x), digits, cut, 0.0), NUMBER)
 
 
 @function("random", (INTEGER,), (INTEGER,))
@@ -276,7 +284,7 @@ def between(x, low, high):
 
 @function("match_characters", (STRING,), (STRING,))
 def match_characters(x, pattern):
-    return Scalar(F.rlike(x.column, F.concat(F.lit("^(?:"), pattern.column, F.lit(")$"))), BOOLEAN)
+    return Scalar(F.rlike(x.column, F.concat(F.lit(r"\A(?:"), pattern.column, F.lit(r")\z"))), BOOLEAN)
 
 
 function("isnull", ())(lambda x: Scalar(x.column.isNull(), BOOLEAN))

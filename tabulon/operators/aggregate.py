@@ -16,8 +16,13 @@ SPREAD = {"stddev_pop": F.stddev_pop, "stddev_samp": F.stddev_samp, "var_pop": F
 NAMES = {"sum", "avg", "count", "min", "max", "median", *SPREAD}
 
 
+#: At this accuracy the sketch keeps every value of a group of up to two thousand million.
+EXACT = (1 << 31) - 1
+
+
 def median(x: Column, discrete: bool = False) -> Column:
-    return F.percentile_approx(x, 0.5, 1_000_000) if discrete else F.percentile(x.cast("double"), 0.5)
+    """Interpolated, or the lower of the two middle values."""
+    return F.percentile_approx(x, 0.5, EXACT) if discrete else F.percentile(x.cast("double"), 0.5)
 
 
 def aggregate(name: str, x: Scalar | None, pos=None, discrete: bool = False) -> Scalar:

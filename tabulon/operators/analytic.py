@@ -9,7 +9,7 @@ from pyspark.sql.window import WindowSpec
 from ..errors import FunctionNotFound, InvalidArgument, UndefinedVariable
 from ..functions.scalar import SHOWN, quotient
 from ..model import INTEGER, NULL, NUMBER, NUMERIC, Component, Dataset, Scalar, Structure, col
-from .aggregate import SPREAD
+from .aggregate import SPREAD, median
 
 NAMES = {"sum", "avg", "count", "min", "max", "median", *SPREAD, "first_value", "last_value", "lag", "lead", "ratio_to_report", "rank"}
 
@@ -19,7 +19,7 @@ def spec(window, structure: Structure, pos=None) -> WindowSpec:
     for n in [*window.partition, *(n for n, _ in window.order)]:
         if n not in structure:
             raise UndefinedVariable(n, pos)
-    w = W.partitionBy(*[col(n) for n in window.partition]) if window.partition else W.partitionBy(F.lit(0))
+    w = W.partitionBy(*[col(n) for n in window.partition])
     if window.order:
         w = w.orderBy(*[col(n).asc() if up else col(n).desc() for n, up in window.order])
     if window.frame:
@@ -62,8 +62,7 @@ def analytic(name: str, args: list[Scalar], window, structure: Structure, pos=No
     if name == "avg":
         return Scalar(F.avg(x.column).over(w), NUMBER)
     if name == "median":
-        inner = F.percentile_approx(x.column, 0.5, 1_000_000) if discrete else F.percentile(x.column.cast("double"), 0.5)
-        return Scalar(inner.over(w).cast("double"), NUMBER)
+        return Scalar(median(x.column, discrete).over(w).cast("double"), NUMBER)
     return Scalar(SPREAD[name](x.column.cast("double")).over(w), NUMBER)
 
 

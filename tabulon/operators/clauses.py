@@ -93,8 +93,11 @@ def pivot(ds: Dataset, identifier: str, measure: str, values: tuple = (), pos=No
         if ds.structure[n].role != role:
             raise InvalidArgument(f"{n} is not of role {role.lower()}", pos)
     others = [n for n in ds.ids if n != identifier]
-    spread = ds.df.groupBy(*[col(n) for n in others]).pivot(identifier, list(values) or None).agg(F.first(col(measure)))
     kind = ds.structure[measure].type
+    twice = F.raise_error(F.concat(F.lit(f"pivot: more than one data point for a value of {identifier}: "), col(identifier).cast("string")))
+    cell = F.when(F.count(F.lit(1)) > 1, twice.cast(SPARK_TYPES[kind])).otherwise(F.first(col(measure))).alias(measure)
+    cells = ds.df.groupBy(*[col(n) for n in others], col(identifier)).agg(cell)
+    spread = cells.groupBy(*[col(n) for n in others]).pivot(identifier, list(values) or None).agg(F.first(col(measure)))
     fresh = [n for n in spread.columns if n not in others]
     df = spread.select(*[col(n) for n in others], *[col(n).cast(SPARK_TYPES[kind]).alias(n) for n in fresh])
     return Dataset(df, Structure([ds.structure[n] for n in others] + [Component(n, kind) for n in fresh]))

@@ -19,11 +19,10 @@ def keys_of(kind: str, operands: list[tuple[str, Dataset, bool]], using: tuple[s
                 if ds.structure[k].role != IDENTIFIER:
                     raise InvalidArgument(f"using component {k} has to be an identifier", pos)
         return list(using)
-    shared = [n for n in operands[0][1].ids if all(n in ds.ids for _, ds, _ in operands)]
-    widest = max(len(ds.ids) for _, ds, _ in operands)
-    if not shared or (kind == "full_join" and len(shared) < widest):
+    shared = operands[0][1].ids
+    if not shared or any(set(ds.ids) != set(shared) for _, ds, _ in operands):
         raise InvalidArgument("datasets must have common identifiers", pos)
-    return shared
+    return list(shared)
 
 
 def join(kind: str, operands: list[tuple[str, Dataset, bool]], using: tuple[str, ...] = (), pos=None) -> Dataset:

@@ -15,7 +15,7 @@ from .aggregate import time_component
 def running(ds: Dataset, pos=None):
     time = time_component(ds, pos)
     others = [n for n in ds.ids if n != time]
-    return W.partitionBy(*[col(n) for n in others]).orderBy(col(time)) if others else W.partitionBy(F.lit(0)).orderBy(col(time))
+    return W.partitionBy(*[col(n) for n in others]).orderBy(col(time))
 
 
 def measures_by(ds: Dataset, make) -> Dataset:
@@ -47,8 +47,8 @@ def timeshift(ds: Dataset, n: int, pos=None) -> Dataset:
         df = ds.df
     else:
         others = [x for x in ds.ids if x != time]
-        w = W.partitionBy(*[col(x) for x in others]).orderBy(col(time)) if others else W.partitionBy(F.lit(0)).orderBy(col(time))
-        whole = W.partitionBy(*[col(x) for x in others]) if others else W.partitionBy(F.lit(0))
+        whole = W.partitionBy(*[col(x) for x in others])
+        w = whole.orderBy(col(time))
         step = F.datediff(F.lead(col(time)).over(w), col(time))
         df = ds.df.withColumn("__step", step).withColumn("__least", F.min("__step").over(whole))
         least = F.col("__least")

@@ -174,7 +174,7 @@ def check_hierarchy(ds: Dataset, ruleset, component: str, mode: str | None, outp
     code_type = constant_type([r.code for r in ruleset.rules], STRING, "error codes", pos)
     level_type = constant_type([r.level for r in ruleset.rules], INTEGER, "error levels", pos)
     kind = SPARK_TYPES[items.type]
-    df, made = rolled(items, ruleset.rules, mode, "rule")[:2] if computed else (items.df, {})
+    df, made = rolled(items, ruleset.rules, mode, "own")[:2] if computed else (items.df, {})
     results = []
     for label, rule in zip(labels(ruleset), ruleset.rules, strict=True):
         have = {c: (items.present(c, rule), items.value(c, rule)) for c in involved(rule)}
@@ -242,7 +242,8 @@ def rolled(items: Items, rules: list, mode: str, source: str) -> tuple[DataFrame
             present, value = items.present(c, rule), items.value(c, rule)
             if c in made and source != "dataset":
                 done, got = made[c]
-                use = done if source == "rule" else done & got.isNotNull()
+                # a computed item comes first, unless it is null (rule_priority) or the dataset has its own (own)
+                use = done & ~items.present(c) if source == "own" else done if source == "rule" else done & got.isNotNull()
                 present, value = done | present, F.when(use, got).otherwise(value)
             parts.append((s, present, value))
         first = ~made[rule.left][0] if rule.left in made else F.lit(True)

@@ -54,9 +54,12 @@ def read_bindings(spark: SparkSession, text: str) -> dict[str, object]:
     return {k: dataset_from(spark, v) if isinstance(v, dict) else v for k, v in json.loads(text).items()}
 
 
-def write_json(ds: Dataset) -> str:
-    """The whole dataset as one JSON text; for small results, as it passes through the driver."""
+def write_json(ds: Dataset, most: int = 1_000_000) -> str:
+    """The whole dataset as one JSON text. It passes through the driver, so more than ``most`` data points are an error."""
     plain = lambda v: v.isoformat() if isinstance(v, (dt.date, dt.datetime)) else v
     structure = [{"name": c.name, "type": c.type.upper(), "role": c.role} for c in ds.structure]
     names = [c.name for c in ds.structure]
-    return json.dumps({"structure": structure, "data": [[plain(r[n]) for n in names] for r in ds.df.select(*[f"`{n}`" for n in names]).collect()]})
+    rows = ds.df.select(*[f"`{n}`" for n in names]).limit(most + 1).collect()
+    if len(rows) > most:
+        raise InvalidArgument(f"the dataset has more than {most} data points; write it as Parquet or CSV")
+    return json.dumps({"structure": structure, "data": [[plain(r[n]) for n in names] for r in rows]})

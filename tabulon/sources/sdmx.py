@@ -12,9 +12,9 @@ from .files import schema_of
 
 #: SDMX text types and the script types that carry them.
 TEXT_TYPES = {
-    "string": ("String", "Alpha", "AlphaNumeric", "Numeric", "URI", "XHTML", "IdentifiableReference", "GeospatialInformation"),
+    "string": ("String", "Alpha", "AlphaNumeric", "URI", "XHTML", "IdentifiableReference", "GeospatialInformation"),
     "integer": ("BigInteger", "Integer", "Long", "Short", "Count", "InclusiveValueRange"),
-    "number": ("Decimal", "Float", "Double", "ExclusiveValueRange", "Incremental"),
+    "number": ("Numeric", "Decimal", "Float", "Double", "ExclusiveValueRange", "Incremental"),
     "boolean": ("Boolean",),
     "date": ("ObservationalTimePeriod", "StandardTimePeriod", "BasicTimePeriod", "GregorianTimePeriod", "GregorianYear", "GregorianYearMonth", "GregorianDay", "DateTime", "ReportingTimePeriod", "TimeRange", "Month", "MonthDay", "Day", "Time"),
 }

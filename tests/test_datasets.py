@@ -212,3 +212,35 @@ def test_empty_dataset(spark):
     s.bind("e", spark.createDataFrame([], "id string, n bigint"), ids=["id"])
     out = s.run("a := e + e; b := e[aggr c := count() group by id]; c := union(e, e); d := check(e > 1);")
     assert all(rows(v) == [] for v in out.values())
+
+
+def test_joins_without_using_need_one_set_of_identifiers(spark):
+    s = Session(spark)
+    s.bind("a", spark.createDataFrame([(1, 1, 2.0)], "i long, j long, x double"), ids=["i", "j"])
+    s.bind("b", spark.createDataFrame([(1, 5, 3.0), (1, 6, 4.0)], "i long, k long, y double"), ids=["i", "k"])
+    for kind in ("inner_join", "left_join", "full_join"):
+        with pytest.raises(InvalidArgument, match="common identifiers"):
+            s.run(f"{kind[0]} := {kind}(a, b);")
+
+
+def test_pivot_raises_on_two_values_for_a_cell(spark):
+    s = Session(spark)
+    s.bind("a", spark.createDataFrame([(1, "x", 2.0), (1, "x", 3.0), (2, "y", 4.0)], "i long, k string, v double"), ids=["i", "k"])
+    with pytest.raises(Exception, match="more than one data point"):
+        s.run("p := a[pivot k, v];")["p"].df.collect()
+
+
+def test_numbers_and_patterns_at_their_edges(spark):
+    s = Session(spark)
+    rows = [(1, 1e25, "abc\n", -20), (2, -123.456, "abc", -2), (3, 5.55e20, "ABC", -20), (4, float("nan"), None, 400)]
+    s.bind("a", spark.createDataFrame(rows, "i long, x double, t string, n long"), ids=["i"])
+    got = {r.i: r for r in s.run('r := a[calc u := trunc(x), w := trunc(x, n), o := round(x, n), m := match_characters(t, "abc")];')["r"].df.collect()}
+    assert [got[i].u for i in (1, 2, 3)] == [1e25, -123.0, 5.55e20] and got[4].u != got[4].u
+    assert (got[1].m, got[2].m, got[3].m, got[4].m) == (False, True, False, None)
+    assert (got[2].w, got[2].o) == (-100.0, -100.0) and got[3].w == pytest.approx(5e20) and got[3].o == pytest.approx(6e20)
+
+
+def test_discrete_median_is_an_element(spark):
+    s = Session(spark, median="discrete")
+    s.bind("a", spark.createDataFrame([(i, float(v)) for i, v in enumerate((10, 20, 25, 30))], "i long, x double"), ids=["i"])
+    assert s.run("m := a[aggr m := median(x)];")["m"].df.first().m == 20.0

@@ -32,11 +32,14 @@ def test_against_duckdb(spark, name):
     assert sorted(map(str, (tuple(r) for r in got.select(*names).collect()))) == sorted(map(str, want.fetchall()))
 
 
-@pytest.mark.parametrize("name", ["intersect", "setdiff", "ds_plus_ds", "ds_multi_bool", "join_apply", "registered_functions", "check_hierarchy", "check_hierarchy_always_null", "hierarchy"])
+WHOLE = ["intersect", "setdiff", "symdiff", "union_first_wins", "ds_plus_ds", "ds_multi_bool", "join_apply", "full_join", "registered_functions", "check_hierarchy", "check_hierarchy_always_null", "hierarchy"]
+
+
+@pytest.mark.parametrize("name", WHOLE + ["script_order", "join_left_chain", "eval_routine", "provider", "intervals", "periods_of_dates", "truncate_periods", "zones", "round_beyond", "matches_whole", "pivot_cells", "hierarchy_rule_priority", "check_dataset_priority"])
 def test_whole_tables_against_duckdb(spark, name):
-    script = entry.queries()[f"{name}_whole"].script
+    script = entry.queries()[name].script
     assert "event_id <" not in script and "event_id >" not in script and "custkey <" not in script and "mod(o_custkey, 50)" not in script
-    test_against_duckdb(spark, f"{name}_whole")
+    test_against_duckdb(spark, name)
 
 
 def test_filter_reaches_the_scan(spark):

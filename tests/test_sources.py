@@ -88,3 +88,32 @@ def test_streams(spark, tmp_path):
     q = run_batches(lambda: Session(spark), "d", stream(), "r := d[aggr c := count()];", lambda o, i: seen.append(o["r"].df.first()["c"]), ids=["id"]).start()
     q.processAllAvailable(), q.stop()
     assert sum(seen) == 2
+
+
+def test_numeric_texts_of_sdmx_are_numbers():
+    from tabulon.sources.sdmx import KINDS
+
+    assert KINDS["Numeric"] == KINDS["Double"] == "number" and KINDS["AlphaNumeric"] == "string"
+
+
+def test_json_of_a_large_dataset_is_an_error(spark):
+    from tabulon.errors import InvalidArgument
+    from tabulon.model import wrap
+    from tabulon.sources.json_dataset import write_json
+
+    ds = wrap(spark.range(5).withColumnRenamed("id", "i"), ids=["i"])
+    assert json.loads(write_json(ds, most=5))["data"] == [[0], [1], [2], [3], [4]]
+    with pytest.raises(InvalidArgument):
+        write_json(ds, most=4)
+
+
+def test_jdbc_types(spark):
+    """A table in a database that lives in the test's process."""
+    from tabulon.sources.files import read_jdbc
+
+    url = "jdbc:derby:memory:tabulon;create=true"
+    made = spark.sql("SELECT 1L AS i, 'a' AS s, 1.5D AS d, true AS b, DATE '2020-01-02' AS day, TIMESTAMP '2020-01-02 03:04:05' AS at, CAST(2.25 AS DECIMAL(10, 2)) AS m, 7 AS n")
+    made.write.format("jdbc").options(url=url, dbtable="t", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").mode("overwrite").save()
+    ds = read_jdbc(spark, url, "t", ids=["i"], driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    assert {c.name: c.type for c in ds.structure} == {"i": "integer", "s": "string", "d": "number", "b": "boolean", "day": "date", "at": "date", "m": "number", "n": "integer"}
+    assert ds.ids == ["i"] and ds.df.count() == 1
