@@ -41,7 +41,7 @@ WINDOW = 400
 #: Bytes of a trigger.
 GRAM = 32
 #: Grams among which the trigger is the least.
-REACH = 240
+REACH = 128
 NONE = "array<int>"
 
 
