@@ -580,3 +580,24 @@ def test_kernels():
         want = sorted({i for j in range(len(x) - w + 1) for i in range(j, j + w) if x[i] == x[j : j + w].min()})
         assert kernels.minimisers(x, np.ones(len(x), bool), w).tolist() == want
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_scorers_on_long_texts_ties_repeated_rows_and_clashing_columns(spark):
+    rng = random.Random(21)
+    sounds = {"aa": ["ba", "ka", "lo"], "bb": ["zi", "xu", "qe"]}
+    make = lambda k, n: " ".join("".join(rng.choice(sounds[k]) for _ in range(3)) for _ in range(n))
+    rows = [(i, make("ab"[i % 2] * 2, 30), "ab"[i % 2] * 2, 1, "x", 0.5, 7) for i in range(80)]
+    rows += [(200, make("aa", 40_000), None, 1, "x", 0.5, 7), (201, "é" * 300_000, None, 1, "x", 0.5, 7), (202, rows[0][1], "aa", 1, "x", 0.5, 7), (202, rows[0][1], "aa", 1, "x", 0.5, 7)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, id int, carried string, score double, rid int")
+    got = collections.defaultdict(list)
+    for r in language.identify(docs, carry=("score", "carried")).collect():
+        got[r.id].append((r.lang_pred, r.score, r.carried.score))
+    assert got[200][0][0] == "aa" and len(got[201]) == 1 and len(got[202]) == 2 and got[202][0] == got[202][1] and got[0][0][2] == 0.5
+    # two languages with the same counts cost the same: the first in order wins
+    twins = docs.select("doc_id", "text", F.lit("cc").alias("lang")).union(docs.select("doc_id", "text", F.lit("bb").alias("lang")))
+    assert {r.lang_pred for r in language.identify(twins).collect()} == {"bb"}
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(80)] + [(1, 1, 0)], "doc_id bigint, toxic int, text int")
+    scores = collections.defaultdict(list)
+    for r in toxicity.score_toxicity(docs, labels).collect():
+        scores[r.id].append(r.score)
+    assert len(scores[202]) == 2 and scores[202][0] == scores[202][1] == scores[0][0] and len(scores[200]) == len(scores[201]) == 1
