@@ -11,8 +11,9 @@ length of ``TEMPER`` bytes.
 
 As counts are frozen, a byte's cost depends on it and three bytes before it
 alone, so whole texts are scored by table look-ups: bytes that no language has
-seen share one symbol (they all cost the same), contexts of three bytes that no
-language has seen fall back to the row of their last two.
+seen share one symbol (they all cost the same), contexts that no language has seen
+fall back to the row of their last two bytes or one.  The tables hold seen
+contexts only, so their size is bounded by the sample's.
 
 Training takes a sample of about ``sample_rows`` labelled rows a language
 (a hash of the id against the language's row count), whole texts; executors
@@ -102,8 +103,8 @@ class Model:
             bits.reshape(-1)[have] = -np.log2(have_n / whole)
             return bits
 
-        contexts = np.unique((p3 * a + p2) * a + p1)
-        two, three = [], []
+        contexts, pairs = np.unique((p3 * a + p2) * a + p1), np.unique(p2 * a + p1)
+        one, two, three = [], [], []
         for i in range(n_langs):
             own = lang == i
             x3, x2, x1, x0, m = p3[own], p2[own], p1[own], p0[own], n[own]
@@ -113,11 +114,15 @@ class Model:
             row = np.searchsorted(contexts, (x3 * a + x2) * a + x1)
             last = contexts % (a * a)
             c3 = costs((len(contexts), a), (row, x0, m), c2.reshape(a * a, a)[last])
-            two.append(c2.reshape(a * a, a))
+            one.append(c1)
+            two.append(c2.reshape(a * a, a)[pairs])
             three.append(c3)
-        self.bits = np.concatenate([np.stack(two, -1), np.stack(three, -1)]).reshape(-1, n_langs)
-        self.row = np.tile(np.arange(a * a, dtype=np.int32), a)
-        self.row[contexts] = a * a + np.arange(len(contexts), dtype=np.int32)
+        # a row for each context that some language has seen; others cost what the next shorter one costs
+        self.bits = np.concatenate([np.stack(x, -1) for x in (one, two, three)]).reshape(-1, n_langs)
+        shorter = np.tile(np.arange(a, dtype=np.int32), a)
+        shorter[pairs] = a + np.arange(len(pairs), dtype=np.int32)
+        self.row = np.tile(shorter, a)
+        self.row[contexts] = a + len(pairs) + np.arange(len(contexts), dtype=np.int32)
 
     def lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Code length in bits of every text in every language."""
