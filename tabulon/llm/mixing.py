@@ -96,7 +96,7 @@ def schedule(
     inside = W.partitionBy("src", "src_null", "slice").orderBy("turn", "id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
     # the sum inside a slice uses the exchange that the join on the same keys needs
     def timed(rows: DataFrame, placed: DataFrame) -> DataFrame:
-        placed_rows = rows.withColumn("upto", F.sum("size").over(inside)).join(placed, ["src", "src_null", "slice"])
+        placed_rows = rows.withColumn("upto", F.sum("size").over(inside)).join(placed.hint("merge"), ["src", "src_null", "slice"])
         return placed_rows.withColumn("end", F.col("offset") + F.col("upto")).drop("offset", "upto", "slice", "turn")
 
     placed = materialise(placed, "placed")
