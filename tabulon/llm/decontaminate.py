@@ -131,13 +131,13 @@ def member(x: np.ndarray, table: np.ndarray) -> np.ndarray:
     return np.where(table[at] == x, at, -1)
 
 
-def lookup(index: Index):
+def lookup(index: Index, text_col: str = "text"):
     """Documents to hits against a broadcast index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = [c for c in batch.schema.names if c != "text"]
-            for lo, hi, data, offsets in K.chunks(batch.column("text")):
+            for lo, hi, data, offsets in K.chunks(K.texts_in(batch, text_col)):
                 ra, rb, off = two_hashes(data, offsets)
                 n = int(off[-1])
                 edges = np.zeros(n + 1, np.int64)
@@ -308,7 +308,9 @@ def decontaminate(
     if (windows.agg(F.sum(F.coalesce(F.length("item"), F.lit(0)) + 36)).first()[0] or 0) <= broadcast_bytes:
         # the index goes with the plan, so that it ends with it
         index = Index(windows.toArrow())
-        hits = texts.mapInArrow(lookup(index), shape)
+        # a text among the carried columns travels once
+        once = texts.drop("text") if text_col in carry and dict(docs.dtypes)[text_col] == "string" else texts
+        hits = once.mapInArrow(lookup(index, text_col), shape)
     else:
         hits = by_shuffle(texts, windows, shape)
     return hits.select(*texts.columns[:-1], "n_words", F.arrays_zip(F.col("starts").alias("start"), F.col("lengths").alias("length")).alias("spans"), F.array_sort("items").alias("items"))

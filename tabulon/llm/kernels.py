@@ -105,6 +105,13 @@ def chunks(arr: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.nd
         lo = hi
 
 
+def texts_in(batch: pa.RecordBatch, text_col: str) -> pa.Array:
+    """The ``text`` column, or the field of ``carried`` that holds the text, so that it travels once."""
+    if "text" in batch.schema.names:
+        return batch.column("text")
+    return batch.column("carried").field(text_col)
+
+
 def class_table(members: np.ndarray | list[int]) -> np.ndarray:
     table = np.zeros(256, bool)
     table[list(members)] = True

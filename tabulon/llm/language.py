@@ -139,13 +139,14 @@ class Model:
         return out
 
 
-def predictor(shared):
+def predictor(shared, text_col: str = "text"):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         names = np.array([*model.langs, UNKNOWN], object)
         for batch in batches:
+            kept = [c for c in batch.schema.names if c not in ("lettered", "text")]
             letters = batch.column("lettered").to_numpy(zero_copy_only=False)
-            for lo, hi, data, offsets in K.chunks(batch.column("text"), 1 << 18):
+            for lo, hi, data, offsets in K.chunks(K.texts_in(batch, text_col), 1 << 18):
                 bits = model.lengths(data, offsets)
                 best = bits.argmin(1)
                 n = np.maximum(np.diff(offsets), 1)[:, None]
@@ -153,8 +154,8 @@ def predictor(shared):
                 score = 1.0 / np.exp2(-gap).sum(1)
                 known = letters[lo:hi].astype(bool)
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(i).slice(lo, hi - lo) for i in range(batch.num_columns - 2)), pa.array(names[np.where(known, best, len(model.langs))], pa.string()), pa.array(np.where(known, score, 0.0))],
-                    [*batch.schema.names[:-2], "lang_pred", "score"],
+                    [*(batch.column(c).slice(lo, hi - lo) for c in kept), pa.array(names[np.where(known, best, len(model.langs))], pa.string()), pa.array(np.where(known, score, 0.0))],
+                    [*kept, "lang_pred", "score"],
                 )
 
     return run
@@ -192,4 +193,6 @@ def identify(
         return rows.select(*rows.columns[:-2], F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-2])
-    return rows.mapInArrow(predictor(shared), f"{fields}, lang_pred string, score double")
+    # a text among the carried columns travels once
+    once = rows.drop("text") if text_col in carry and dict(docs.dtypes)[text_col] == "string" else rows
+    return once.mapInArrow(predictor(shared, text_col), f"{fields}, lang_pred string, score double")
