@@ -554,6 +554,47 @@ def test_html_repeats_decide_without_landmarks(spark):
     assert got == {i: "\n".join(x) for i, x in enumerate(own)}
 
 
+def test_html_repeats_begin_at_every_token(spark):
+    rng = random.Random(10)
+    line = passage(rng, 25)
+    own = [passage(rng, 30) for _ in range(40)]
+    pages = [(i, f"http://h.org/{i}", f"<div>by {i} {i} {line} {i}</div><p>{t}</p>") for i, t in enumerate(own)]
+    pages += [(100, "http://k.org/1", f"<div>{line}</div>"), *[(101, "http://l.org/1", f"<div>{line}</div>")] * 3]
+    got = bag((r.id, r.text) for r in html_text.main_text(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect())
+    assert got == bag([*enumerate(own), (100, line), *[(101, line)] * 3])
+
+
+@pytest.mark.parametrize("parts, most", [(1, 1 << 21), (7, 1 << 21), (7, 50)])
+def test_html_repeats_against_brute_force(spark, monkeypatch, parts, most):
+    rng = random.Random(11)
+    lines = [passage(rng, n) for n in (7, 8, 9, 14, 30)]
+    pages = []
+    for i in range(90):
+        some = [f"{passage(rng, rng.randint(0, 4))} {rng.choice(lines)} {passage(rng, rng.randint(0, 6))}" if rng.random() < 0.6 else passage(rng, rng.randint(1, 40)) for _ in range(6)]
+        tag = rng.choice(["div", "article", "main"])
+        pages.append((i, f"http://{rng.choice('ab')}.org/{i}", f"<{tag}>" + "".join(f"<p>{x}</p>" for x in some[:4]) + f"</{tag}>" + "".join(f"<div>{x}</div>" for x in some[4:])))
+    pages += [pages[0]] * 2 + [(200 + i, f"http://a.org/c{i}", pages[1][2]) for i in range(5)] + [(300, "", ""), (301, None, None)]
+    found = [html_text.blocks(h or "") for _, _, h in pages]
+    on, keys = collections.Counter(), collections.defaultdict(set)
+    streams = [[t for x, _ in f for t in x.split()] for f in found]
+    for page, tokens in zip(pages, streams):
+        for w in {(html_text.host_of(page[1]), *tokens[s : s + 8]) for s in range(len(tokens) - 7)}:
+            on[w] += 1
+            keys[w].add(page)
+    want = []
+    for page, f, tokens in zip(pages, found, streams):
+        count = np.zeros(len(tokens), np.int64)
+        for s in range(len(tokens) - 7):
+            w = (html_text.host_of(page[1]), *tokens[s : s + 8])
+            if len(keys[w]) > 1:
+                count[s : s + 8] = np.maximum(count[s : s + 8], on[w])
+        off = np.cumsum([0, *(len(x.split()) for x, _ in f)])
+        want.append((page[0], "\n".join(html_text.chosen(f, count, off)) if f else ""))
+    monkeypatch.setattr(html_text, "DEAL", most)
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string").repartition(parts)
+    assert bag((r.id, r.text) for r in html_text.main_text(df).collect()) == bag(want)
+
+
 @pytest.mark.parametrize("run", [substring_dedup, suffix_dedup, minhash.near_classes, pii.find_pii, pii.redact, mixing.mix])
 def test_empty_tables(empty, run):
     assert run(empty).count() == 0
