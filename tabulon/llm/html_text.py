@@ -27,7 +27,8 @@ they never move: what is found is sent to the slots of its pages.
    anchors, so only anchors on two pages can be those of repeats.  Anchors are
    cut to a part of their hash: two that fall together cost time, not results.
 2. The runs of these anchors are compared by their whole hash, with the rows
-   that they are on.
+   that they are on.  Of the key of a page 40 bits move: two pages are taken for
+   one once in 2^40 pairs.
 
 Both move as blobs of numbers by ranges of the hash.  An anchor on more than two
 pages of a batch is known to be shared there: two of its pages go to its range
