@@ -39,6 +39,8 @@ REPEATS = 2
 SLICE_DIGITS = 3
 #: Words served at once.
 PACKET = 256
+#: Files of a stored result, for each core of the session.
+FILES_PER_CORE = 2
 
 
 def n_words(text: Column) -> Column:
@@ -100,10 +102,9 @@ def schedule(
         return placed_rows.withColumn("end", F.col("offset") + F.col("upto")).drop("offset", "upto", "slice", "turn")
 
     placed = materialise(placed, "placed")
-    ends = materialise(timed(slim, placed), "ends")
-    served = served_words(ends.select("src", "src_null", "source_size", "target", "size", "end"), sizes, share, repeats)
+    served = served_words(timed(slim, placed).select("src", "src_null", "source_size", "target", "size", "end"), sizes, share, repeats)
     # joined to the slices, so that no text moves for it
-    placed = materialise(placed.join(served, ["src", "src_null"], "left").withColumn("served", F.coalesce("served", F.lit(0))), "placed")
+    placed = placed.join(served, ["src", "src_null"], "left").withColumn("served", F.coalesce("served", F.lit(0)))
     mixed = timed(rows if carry else slim, placed)
     first = F.col("end") - F.col("size")
     taken = sum(
@@ -127,7 +128,9 @@ def served_words(timed: DataFrame, sizes: DataFrame, share: float, repeats: int)
     packets = packets.select("src", "src_null", "words", "end", (F.col("end") / F.col("target")).alias("finish"))
     key = ["finish", "src_null", "src", "end"]
     spark = timed.sparkSession
-    queue = materialise(packets.repartitionByRange(n_parts(spark), *key).withColumn("part", F.spark_partition_id()), "packets")
+    # stored as they come, several parts to a file, since every file costs the executor processes that set its permissions
+    n_files = FILES_PER_CORE * spark.sparkContext.defaultParallelism
+    queue = materialise(packets.repartitionByRange(n_parts(spark), *key).withColumn("part", F.spark_partition_id()).coalesce(n_files), "packets")
     # one row a partition of the global order
     parts = queue.groupBy("part").agg(F.sum("words").alias("total"))
     order = W.partitionBy(F.lit(0)).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
@@ -137,7 +140,7 @@ def served_words(timed: DataFrame, sizes: DataFrame, share: float, repeats: int)
     budget = sizes.agg(F.floor(F.sum("source_size") * F.lit(share)).alias("budget"))
     cut = F.greatest(F.lit(0), F.least(F.col("words"), F.col("budget") - (F.col("total") - F.col("words"))))
     served = total.join(F.broadcast(budget)).groupBy("src", "src_null").agg(F.sum(cut).cast("long").alias("served"))
-    served = materialise(served, "served")
+    served = materialise(served.coalesce(n_files), "served")
     discard(queue)
     return served
 

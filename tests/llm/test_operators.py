@@ -226,6 +226,29 @@ def test_mixing(docs, empty):
     assert mixing.schedule(empty).count() == 0
 
 
+def test_mixing_stores_few_files(spark, docs, monkeypatch):
+    """Every file costs processes that set its permissions, so their number follows the cores, not the partitions of the order of service."""
+    stored = []
+
+    def counted(df, name, store=mixing.materialise):
+        stored.append((name, len((out := store(df, name)).inputFiles())))
+        return out
+
+    monkeypatch.setattr(mixing, "materialise", counted)
+    few = mixing.schedule(docs).select("id", "size", "target", "taken").collect()
+    stored.clear()
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "97")
+    try:
+        many = mixing.schedule(docs).select("id", "size", "target", "taken").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    assert bag(map(tuple, many)) == bag(map(tuple, few))
+    most = mixing.FILES_PER_CORE * spark.sparkContext.defaultParallelism
+    assert [name for name, _ in stored] == ["sizes", "placed", "packets", "served"]
+    assert all(n <= most for name, n in stored if name in ("packets", "served"))
+
+
 def luhn(number):
     digits = [int(c) for c in reversed(number)]
     return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(digits)) % 10 == 0
